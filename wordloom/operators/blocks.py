@@ -32,7 +32,7 @@ def one_per_place(df: DataFrame, key: str, pos: str, values: list[str], size: in
     return picked.select(key, "_block", pos, *[F.col("_v")[v].alias(v) for v in values])
 
 
-def stitched_runs(df: DataFrame, key: str, pos: str, value: str, least: int = 1) -> DataFrame:
+def stitched_runs(df: DataFrame, key: str, pos: str, value: str, least: int = 1, low: tuple[str, ...] = (), high: tuple[str, ...] = ()) -> DataFrame:
     """Maximal runs of neighbouring rows with equal ``value``.
 
     ``df`` is partitioned by ``(key, _block)`` and has one row per place; rows whose
@@ -42,7 +42,8 @@ def stitched_runs(df: DataFrame, key: str, pos: str, value: str, least: int = 1)
     its block may go on in the next one: only such edge runs, at most two per block, meet in
     one window per key, where neighbours of equal value are joined.
 
-    Returns ``key, value, first_pos, last_pos, n`` for runs of at least ``least`` rows.
+    Returns ``key, value, first_pos, last_pos, n`` for runs of at least ``least`` rows, with the
+    least of each column in ``low`` and the greatest of each in ``high``.
     """
     in_block = Window.partitionBy(key, "_block")
     numbered = df.select(
@@ -53,9 +54,12 @@ def stitched_runs(df: DataFrame, key: str, pos: str, value: str, least: int = 1)
         F.row_number().over(in_block.orderBy(pos)).alias("_rn"),
         F.row_number().over(Window.partitionBy(key, "_block", value).orderBy(pos)).alias("_rv"),
         F.count(F.lit(1)).over(in_block).alias("_rows"),
+        *low,
+        *high,
     )
+    bounds = [F.min(c).alias(c) for c in low] + [F.max(c).alias(c) for c in high]
     runs = numbered.groupBy(key, "_block", value, (F.col("_rn") - F.col("_rv")).alias("_d"), "_rows").agg(
-        F.min(pos).alias("first_pos"), F.max(pos).alias("last_pos"), F.count(F.lit(1)).alias("n"), F.min("_rn").alias("_a"), F.max("_rn").alias("_z")
+        F.min(pos).alias("first_pos"), F.max(pos).alias("last_pos"), F.count(F.lit(1)).alias("n"), F.min("_rn").alias("_a"), F.max("_rn").alias("_z"), *bounds
     )
     runs = runs.withColumns({"_head": F.col("_a") == 1, "_tail": F.col("_z") == F.col("_rows")})
     edge = F.col("_head") | F.col("_tail")
@@ -71,8 +75,8 @@ def stitched_runs(df: DataFrame, key: str, pos: str, value: str, least: int = 1)
         ),
     )
     chained = joined.withColumn("_run", F.sum(F.when(F.col("_go"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = chained.where(F.col(value).isNotNull()).groupBy(key, "_lane", "_run").agg(F.first(value).alias(value), F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos"), F.sum("n").alias("n"))
-    return out.where(F.col("n") >= least).select(key, value, "first_pos", "last_pos", "n")
+    out = chained.where(F.col(value).isNotNull()).groupBy(key, "_lane", "_run").agg(F.first(value).alias(value), F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos"), F.sum("n").alias("n"), *bounds)
+    return out.where(F.col("n") >= least).select(key, value, "first_pos", "last_pos", "n", *low, *high)
 
 
 def block_carry(df: DataFrame, key: str, pos: str, before: dict[str, str], after: dict[str, str]) -> DataFrame:
