@@ -24,6 +24,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,7 +131,7 @@ def _encode(cp: np.ndarray, offsets: np.ndarray, missing: pa.Array) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum(width)])
     data = cp.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
     out = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(ends[offsets].astype(np.int64).tobytes()), pa.py_buffer(data))
-    return pa.compute.if_else(missing, pa.scalar(None, pa.large_string()), out)
+    return pc.if_else(missing, pa.scalar(None, pa.large_string()), out)
 
 
 def _keep(cp: np.ndarray, row: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,9 +183,9 @@ def plain_array(values: pa.Array) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
     t = _tables()
-    missing = pa.compute.is_null(values)
+    missing = pc.is_null(values)
     n = len(values)
-    cp, offsets = _decode(pa.compute.fill_null(values, ""))
+    cp, offsets = _decode(pc.fill_null(values, ""))
     row = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
     # Expansion by table and offsets.
     size = t.size[cp]
@@ -230,7 +231,7 @@ def changed(df: DataFrame, row_id: str, field: str, name: str) -> DataFrame:
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             form = plain_array(batch.column(1)).cast(pa.string())
-            other = pa.compute.not_equal(form, pa.compute.utf8_trim(batch.column(1), " "))
+            other = pc.not_equal(form, pc.utf8_trim(batch.column(1), " "))
             yield pa.RecordBatch.from_arrays([batch.column(0), form], ["row_id", "plain"]).filter(other)
 
     rows = df.select(F.col(row_id).cast("long").alias("row_id"), F.col(field).cast("string").alias("text")).where(~F.col("text").rlike(_ORDINARY))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import charforms, repeats, turns
+from wordloom.llm import bpe, charforms, mixing, repeats, turns
 from wordloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,5 +33,17 @@ def p7_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.event_runs(table(spark, sf_dir, "nlp_tokens"), times=True)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_turns, p6_found, p7_found, p7_runs)}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_turns, p6_found, p7_found, p7_runs, p8_ids, p9_mix, p9_shares)}
 SQL: dict[str, str] = {}

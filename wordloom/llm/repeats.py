@@ -49,7 +49,7 @@ def seconds(text: Column) -> Column:
 def event_runs(tokens: DataFrame, least: int = 2, times: bool = False, size: int = BLOCK) -> DataFrame:
     """``recording, event, first_pos, last_pos, n_events`` of each run; with ``times`` also ``start_secs, end_secs, duration_secs``."""
     number = entity_number(F.col("best_label"), F.col("best_label_id"))
-    # A token may hold any letter or digit but "#", so numbers and tokens do not meet.
+    # A core begins with a letter or digit, so no token reads like an entity.
     event = F.coalesce(F.concat(F.lit("#"), number), core_of(plain(F.col("token"))))
     spans = {"start_secs": seconds(F.col("ts")), "end_secs": seconds(F.col("end_ts"))} if times else {}
     rows = tokens.select("recording", "pos", event.alias("event"), *[c.alias(n) for n, c in spans.items()])
