@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import bpe, charforms, mixing, repeats, turns
+from wordloom.llm import bpe, charforms, mixing, readability, repeats, turns
 from wordloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,5 +45,9 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_turns, p6_found, p7_found, p7_runs, p8_ids, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readability.grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "grade_labels")).select("doc_id", "grade")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_turns, p6_found, p7_found, p7_runs, p8_ids, p9_mix, p9_shares, p10_found)}
 SQL: dict[str, str] = {}
