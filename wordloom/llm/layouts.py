@@ -48,11 +48,11 @@ def path(text: Column) -> Column:
 
 
 def mine(texts: DataFrame) -> DataFrame:
-    """Layouts of ``field, text`` rows: ``field, path, shape, closing, n, slots``.
+    """Layouts of ``field, text, n`` rows (texts with their counts): ``field, path, shape, closing, n, slots``.
 
     ``slots`` has, for each numeric slot, the least and greatest value seen.
     """
-    distinct = texts.where(F.col("text").isNotNull() & (F.col("text") != "")).groupBy("field", "text").agg(F.count(F.lit(1)).alias("n"))
+    distinct = texts.where(F.col("text").isNotNull() & (F.col("text") != "")).groupBy("field", "text").agg(F.sum("n").alias("n"))
     leaves = distinct.select("field", path(F.col("text")).alias("path"), "n", F.regexp_extract_all("text", F.lit(r"([0-9]+)"), F.lit(1)).alias("numbers"))
     slots = leaves.select("field", "path", "n", F.posexplode_outer("numbers").alias("slot", "value"))
     each = slots.groupBy("field", "path", F.coalesce("slot", F.lit(-1)).alias("slot")).agg(F.sum("n").alias("n"), F.min(F.col("value").try_cast("long")).alias("least"), F.max(F.col("value").try_cast("long")).alias("most"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from wordloom.llm import layouts
 from wordloom.llm.charforms import plain
 from wordloom.llm.repeats import core_of, seconds
-from wordloom.operators.blocks import BLOCK, block_carry, one_per_place, stitched_runs
+from wordloom.operators.blocks import BLOCK, block_carry, block_no, one_per_place, stitched_runs
 
 # Sounds of hesitation, with letters drawn out.
 HESITATION = r"^(?:u+h+m*|u+m+|e+r+m*|e+h+m*|h+m+|m{2,}|ä+h+m*|e+u+h+)$"
@@ -39,6 +39,12 @@ def _framed(token: Column) -> Column:
     return F.regexp_replace(token, _LOOSE_ENDS, "")
 
 
+def _sent(small: DataFrame) -> DataFrame:
+    """A table of layouts or labels, kept and sent to every task if its rows are counted to be few, else joined by shuffle."""
+    kept = small.persist(StorageLevel.MEMORY_AND_DISK)
+    return F.broadcast(kept) if kept.count() <= layouts.MAX_SENT else kept
+
+
 #: What ``detail`` adds to each row.
 _DETAIL = ("text", "start_secs", "end_secs")
 
@@ -49,57 +55,67 @@ def classified(tokens: DataFrame, detail: bool = False, size: int = BLOCK) -> Da
     ``word`` tells whether the row is a word but for annotations over several rows, whose
     marks are in ``mark`` (``open`` or ``close`` with the mark).
     """
+    # Templates and speaker labels are worked out on distinct texts, counted before the shuffle.
+    texts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).select(F.lit("token").alias("field"), _framed(plain(F.col("token"))).alias("text"), "n")
+    labels = tokens.groupBy(F.col("speaker").alias("_label")).agg(F.count(F.lit(1)).alias("n")).withColumn("text", layouts.numbered(plain(F.col("_label"))))
+    roles = layouts.roles(layouts.mine(texts.unionByName(labels.select(F.lit("speaker").alias("field"), "text", "n"))))
+    by_token = _sent(roles.where(F.col("field") == "token").select(F.col("path").alias("_tp"), F.col("role").alias("_role")))
+    slots = roles.where(F.col("field") == "speaker").select(F.col("path").alias("_sp"), F.col("slot").alias("_slot"))
+    number = F.get(F.regexp_extract_all("text", F.lit(r"([0-9]+)"), F.lit(1)), F.col("_slot")).try_cast("long")
+    by_label = _sent(labels.withColumn("_sp", layouts.path(F.col("text"))).join(slots, "_sp").where(F.col("_label").isNotNull()).select("_label", number.alias("speaker_no")))
+
     rows = tokens.select(
         "recording",
         "pos",
+        F.col("speaker").alias("_label"),
+        "labels",
+        "best_label",
         plain(F.col("token")).alias("text"),
-        layouts.numbered(plain(F.col("speaker"))).alias("label"),
-        (F.coalesce(F.col("labels").rlike(_TIME_LABEL), F.lit(False)) | F.coalesce(F.col("best_label").rlike(_TIME_LABEL), F.lit(False))).alias("timed"),
         *([seconds(F.col("ts")).alias("start_secs"), seconds(F.col("end_ts")).alias("end_secs")] if detail else []),
-    ).withColumn("frame", _framed(F.col("text")))
-    seen = rows.select(F.explode(F.array(F.struct(F.lit("token").alias("field"), F.col("frame").alias("text")), F.struct(F.lit("speaker").alias("field"), F.col("label").alias("text")))).alias("x")).select("x.*")
-    mined = layouts.roles(layouts.mine(seen)).persist(StorageLevel.MEMORY_AND_DISK)
-    roles = F.broadcast(mined) if mined.count() <= layouts.MAX_SENT else mined
-    by_token = roles.where(F.col("field") == "token").select(F.col("path").alias("_tp"), F.col("role").alias("_role"))
-    by_label = roles.where(F.col("field") == "speaker").select(F.col("path").alias("_sp"), F.col("slot").alias("_slot"))
-    told = rows.withColumns({"_tp": layouts.path(F.col("frame")), "_sp": layouts.path(F.col("label"))}).join(by_token, "_tp", "left").join(by_label, "_sp", "left")
-
-    said = F.coalesce(F.col("text").rlike(r"[\p{L}\p{N}]"), F.lit(False))
-    hesitates = F.coalesce(core_of(F.col("text")).rlike(HESITATION), F.lit(False))
-    off = F.col("_role").isin("note", "none") | ((F.col("_role") == "time") & ~F.col("timed"))
-    word = said & ~hesitates & ~F.coalesce(off, F.lit(False))
+    ).withColumn("_simple", F.col("text").rlike("^[A-Za-z]+$"))
+    # Most tokens are bare letters, for which framing and masking change nothing.
+    path = F.when(F.col("_simple"), layouts.path(F.lit("a"))).otherwise(layouts.path(_framed(F.col("text"))))
+    told = rows.withColumn("_tp", path).join(by_token, "_tp", "left").join(by_label, "_label", "left")
+
+    said = F.col("_simple") | F.coalesce(F.col("text").rlike(r"[\p{L}\p{N}]"), F.lit(False))
+    core = F.when(F.col("_simple"), F.lower("text")).otherwise(core_of(F.col("text")))
+    hesitates = F.coalesce(core.rlike(HESITATION), F.lit(False))
+    timed = F.coalesce(F.col("labels").rlike(_TIME_LABEL), F.lit(False)) | F.coalesce(F.col("best_label").rlike(_TIME_LABEL), F.lit(False))
+    off = F.col("_role").isin("note", "none") | ((F.col("_role") == "time") & ~timed)
+    word = F.coalesce(said, F.lit(False)) & ~hesitates & ~F.coalesce(off, F.lit(False))
     mark = F.when(F.col("_role").startswith("open") | F.col("_role").startswith("close"), F.col("_role"))
-    number = F.get(F.regexp_extract_all("label", F.lit(r"([0-9]+)"), F.lit(1)), F.col("_slot")).try_cast("long")
-    flat = told.select("recording", "pos", word.alias("word"), mark.alias("mark"), number.alias("speaker_no"), *(_DETAIL if detail else ()))
+    flat = told.select("recording", "pos", word.alias("word"), mark.alias("mark"), "speaker_no", *(_DETAIL if detail else ()))
     return one_per_place(flat, "recording", "pos", ["word", "mark", "speaker_no", *(_DETAIL if detail else ())], size)
 
 
 def turn_words(tokens: DataFrame, detail: bool = False, size: int = BLOCK) -> DataFrame:
     """The words of all recordings with their speaker: ``recording, _block, pos, speaker_no`` and what ``detail`` adds."""
     rows = classified(tokens, detail, size).persist(StorageLevel.MEMORY_AND_DISK)
-    carried = block_carry(rows, "recording", "pos", {"_spoke": "speaker_no", "_marked": "mark"}, {"_marks": "mark"})
-    order = Window.partitionBy("recording", "_block").orderBy("pos")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("recording", "_block").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    full = rows.join(carried, ["recording", "_block"]).withColumns(
-        {
-            "_who": F.coalesce(F.last("speaker_no", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.col("_spoke")),
-            "_past": F.coalesce(F.last("mark", ignorenulls=True).over(before), F.col("_marked")),
-            "_next": F.coalesce(F.last("mark", ignorenulls=True).over(after), F.col("_marks")),
-        }
-    )
-    shut = F.create_map(*[F.lit(x) for o, c in layouts.ENCLOSING.items() for x in (f"open{o}", f"close{c}")])
-    opens, closes = F.col("mark").startswith("open"), F.col("mark").startswith("close")
-    start = opens & (shut[F.col("mark")] == F.col("_next"))
-    end = closes & (shut[F.col("_past")] == F.col("mark"))
-    inside = F.col("mark").isNull() & (shut[F.col("_past")] == F.col("_next"))
-    noted = F.coalesce(start, F.lit(False)) | F.coalesce(end, F.lit(False)) | F.coalesce(inside, F.lit(False))
+    carried = block_carry(rows, "recording", "pos", {"_spoke": "speaker_no"}, {}).join(_notes(rows, size), ["recording", "_block"], "left")
+    order = Window.partitionBy("recording", "_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    full = rows.join(carried, ["recording", "_block"]).withColumn("_who", F.coalesce(F.last("speaker_no", ignorenulls=True).over(order), F.col("_spoke")))
+    noted = F.col("_notes").isNotNull() & F.exists("_notes", lambda n: F.col("pos").between(n["a"], n["z"]))
     return full.where(F.col("word") & ~noted).select("recording", "_block", "pos", F.col("_who").alias("speaker_no"), *(_DETAIL if detail else ()))
 
 
+def _notes(rows: DataFrame, size: int) -> DataFrame:
+    """Annotations over several rows, by block: ``recording, _block, _notes`` (places ``a`` to ``z``).
+
+    An opening mark whose next mark closes it makes one.  Only rows with marks are looked
+    at, and a block has at most as many annotations as rows.
+    """
+    order = Window.partitionBy("recording").orderBy("pos")
+    shut = F.create_map(*[F.lit(x) for o, c in layouts.ENCLOSING.items() for x in (f"open{o}", f"close{c}")])
+    marks = rows.where(F.col("mark").isNotNull()).select("recording", "pos", "mark", F.lead("pos").over(order).alias("z"), F.lead("mark").over(order).alias("_next"))
+    pairs = marks.where(F.col("mark").startswith("open") & (F.col("_next") == shut[F.col("mark")]))
+    by_block = pairs.select("recording", F.explode(F.sequence(block_no(F.col("pos"), size), block_no(F.col("z"), size))).alias("_block"), F.struct(F.col("pos").alias("a"), "z").alias("_n"))
+    return by_block.groupBy("recording", "_block").agg(F.collect_list("_n").alias("_notes"))
+
+
 def speaker_turns(tokens: DataFrame, detail: bool = False, size: int = BLOCK) -> DataFrame:
     """``recording, speaker_no, first_pos, last_pos, n``: the turns of all recordings; with ``detail`` their times too."""
     bounds = {"low": ("start_secs",), "high": ("end_secs",)} if detail else {}
-    return stitched_runs(turn_words(tokens, detail, size), "recording", "pos", "speaker_no", **bounds)
+    return stitched_runs(turn_words(tokens, detail, size), "recording", "pos", "speaker_no", by_difference=False, **bounds)
 
 
 def turn_texts(tokens: DataFrame, piece: int = 256, size: int = BLOCK) -> DataFrame:
@@ -109,7 +125,7 @@ def turn_texts(tokens: DataFrame, piece: int = 256, size: int = BLOCK) -> DataFr
     of any length is never one row.
     """
     words = turn_words(tokens, True, size)
-    turns = stitched_runs(words, "recording", "pos", "speaker_no").select("recording", "first_pos")
+    turns = stitched_runs(words, "recording", "pos", "speaker_no", by_difference=False).select("recording", "first_pos")
     # The place of each word finds its turn: the last one that starts at or before it.
     marked = words.join(turns.select("recording", F.col("first_pos").alias("pos"), F.col("first_pos").alias("_first")), ["recording", "pos"], "left")
     carried = block_carry(marked, "recording", "pos", {"_carried": "_first"}, {})
