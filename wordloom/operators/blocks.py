@@ -28,11 +28,13 @@ def one_per_place(df: DataFrame, key: str, pos: str, values: list[str], size: in
     left out.
     """
     placed = df.where(F.col(key).isNotNull() & F.col(pos).isNotNull()).select(key, pos, block_no(F.col(pos), size).alias("_block"), *values)
-    picked = placed.repartition(key, "_block").groupBy(key, "_block", pos).agg(F.min(F.struct(*values)).alias("_v"))
-    return picked.select(key, "_block", pos, *[F.col("_v")[v].alias(v) for v in values])
+    # The order by position serves the windows that follow, so copies are dropped without a sort of their own.
+    order = Window.partitionBy(key, "_block").orderBy(pos, *values)
+    told = placed.repartition(key, "_block").withColumn("_copy", F.coalesce(F.lag(pos).over(order) == F.col(pos), F.lit(False)))
+    return told.where(~F.col("_copy")).drop("_copy")
 
 
-def stitched_runs(df: DataFrame, key: str, pos: str, value: str, least: int = 1, low: tuple[str, ...] = (), high: tuple[str, ...] = ()) -> DataFrame:
+def stitched_runs(df: DataFrame, key: str, pos: str, value: str, least: int = 1, low: tuple[str, ...] = (), high: tuple[str, ...] = (), by_difference: bool = True) -> DataFrame:
     """Maximal runs of neighbouring rows with equal ``value``.
 
     ``df`` is partitioned by ``(key, _block)`` and has one row per place; rows whose
@@ -40,25 +42,32 @@ def stitched_runs(df: DataFrame, key: str, pos: str, value: str, least: int = 1,
     row number among rows of the same value is constant along a run and only there, so
     grouping by that difference finds the runs.  A run that touches the first or last row of
     its block may go on in the next one: only such edge runs, at most two per block, meet in
-    one window per key, where neighbours of equal value are joined.
+    one window per key, where neighbours of equal value are joined.  Without ``by_difference``
+    changes of value are counted instead, which spares a sort and finds the same runs.
 
     Returns ``key, value, first_pos, last_pos, n`` for runs of at least ``least`` rows, with the
     least of each column in ``low`` and the greatest of each in ``high``.
     """
     in_block = Window.partitionBy(key, "_block")
+    ordered = in_block.orderBy(pos)
+    if by_difference:
+        run = F.row_number().over(ordered) - F.row_number().over(Window.partitionBy(key, "_block", value).orderBy(pos))
+    else:
+        df = df.withColumn("_new", F.when(F.col(value).eqNullSafe(F.lag(value).over(ordered)), 0).otherwise(1))
+        run = F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
     numbered = df.select(
         key,
         "_block",
         pos,
         value,
-        F.row_number().over(in_block.orderBy(pos)).alias("_rn"),
-        F.row_number().over(Window.partitionBy(key, "_block", value).orderBy(pos)).alias("_rv"),
+        F.row_number().over(ordered).alias("_rn"),
+        run.alias("_d"),
         F.count(F.lit(1)).over(in_block).alias("_rows"),
         *low,
         *high,
     )
     bounds = [F.min(c).alias(c) for c in low] + [F.max(c).alias(c) for c in high]
-    runs = numbered.groupBy(key, "_block", value, (F.col("_rn") - F.col("_rv")).alias("_d"), "_rows").agg(
+    runs = numbered.groupBy(key, "_block", value, "_d", "_rows").agg(
         F.min(pos).alias("first_pos"), F.max(pos).alias("last_pos"), F.count(F.lit(1)).alias("n"), F.min("_rn").alias("_a"), F.max("_rn").alias("_z"), *bounds
     )
     runs = runs.withColumns({"_head": F.col("_a") == 1, "_tail": F.col("_z") == F.col("_rows")})
@@ -95,3 +104,27 @@ def block_carry(df: DataFrame, key: str, pos: str, before: dict[str, str], after
     cols = [F.last(f"_b_{o}", ignorenulls=True).over(past).alias(o) for o in before]
     cols += [F.last(f"_a_{o}", ignorenulls=True).over(future).alias(o) for o in after]
     return blocks.select(key, "_block", *cols)
+
+
+def running(df: DataFrame, key: str, pos: str, sums: dict[str, Column] | None = None, fills: dict[str, Column] | None = None, before: dict[str, Column] | None = None, size: int = BLOCK) -> DataFrame:
+    """``df`` with running values over each key in order of ``pos``, in two levels.
+
+    ``sums``: sums up to and with the row; ``fills``: the last non-null value up to and with
+    the row; ``before``: the last non-null value ahead of the row.  Windows run inside
+    blocks; one row per block carries totals and last values on.  Rows without key or
+    position are left out.
+    """
+    sums, fills, before = sums or {}, fills or {}, before or {}
+    values = {f"_s_{o}": c for o, c in sums.items()} | {f"_f_{o}": c for o, c in (fills | before).items()}
+    rows = df.where(F.col(key).isNotNull() & F.col(pos).isNotNull()).withColumns({"_block": block_no(F.col(pos), size), **values})
+    totals = rows.groupBy(key, "_block").agg(*[F.sum(f"_s_{o}").alias(f"_t_{o}") for o in sums], *[F.max_by(f"_f_{o}", F.when(F.col(f"_f_{o}").isNotNull(), F.col(pos))).alias(f"_l_{o}") for o in fills | before], F.count(F.lit(1)).alias("_rows"))
+    past = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(key, "_block", *[F.coalesce(F.sum(f"_t_{o}").over(past), F.lit(0)).alias(f"_t_{o}") for o in sums], *[F.last(f"_l_{o}", ignorenulls=True).over(past).alias(f"_l_{o}") for o in fills | before])
+    order = Window.partitionBy(key, "_block").orderBy(pos)
+    here, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    told = rows.join(carried, [key, "_block"]).withColumns(
+        {o: F.col(f"_t_{o}") + F.coalesce(F.sum(f"_s_{o}").over(here), F.lit(0)) for o in sums}
+        | {o: F.coalesce(F.last(f"_f_{o}", ignorenulls=True).over(here), F.col(f"_l_{o}")) for o in fills}
+        | {o: F.coalesce(F.last(f"_f_{o}", ignorenulls=True).over(ahead), F.col(f"_l_{o}")) for o in before}
+    )
+    return told.drop("_block", *values, *[c for c in carried.columns if c not in (key, "_block")])
