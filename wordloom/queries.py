@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wordloom.operators import intervals, nested, packed, rejects
+from wordloom.plans import catalog
 from wordloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,5 +44,22 @@ def p5_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.flat_tables(table(spark, sf_dir, "norm_docs"))["candidates"]
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_loaded, p4_found, p5_found, p5_entities, p5_candidates)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_loaded, p4_found, p5_found, p5_entities, p5_candidates)} | catalog.QUERIES
+
+_FIELDS = r"""l AS (SELECT line_id, n_columns, regexp_replace(raw_line, '^\s+|\s+$', '', 'g') AS t FROM ctm_lines WHERE raw_line IS NOT NULL),
+f AS (SELECT line_id, n_columns, t, length(regexp_replace(t, '[^"]', '', 'g')) % 2 = 0 AS paired, list_transform(regexp_extract_all(t, '(?:"[^"]*"|[^ \t"])+'), lambda x: replace(x, '"', '')) AS f FROM l WHERE t <> ''),
+n AS (SELECT *, list_transform(f, lambda x: CASE WHEN regexp_matches(x, '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN try_cast(x AS DOUBLE) END) AS v FROM f),
+d AS (SELECT *, CASE WHEN NOT paired THEN 'quoting' WHEN NOT coalesce(n_columns IN (5, 6) AND len(f) = n_columns, false) THEN 'columns' WHEN NOT coalesce(v[3] >= 0 AND isfinite(v[3]), false) THEN 'start'
+  WHEN NOT coalesce(v[4] >= 0 AND isfinite(v[4]), false) THEN 'duration' WHEN n_columns = 6 AND NOT coalesce(v[6] >= 0 AND v[6] <= 1, false) THEN 'confidence' END AS reason FROM n)"""
+
+SQL: dict[str, str] = catalog.SQL | {
+    "p3_found": f"WITH {_FIELDS} SELECT line_id, reason FROM d WHERE reason IS NOT NULL",
+    "p3_loaded": f"WITH {_FIELDS} SELECT line_id, f[1] AS recording, f[2] AS channel, v[3] AS start_time_secs, v[4] AS duration_secs, f[5] AS word, CASE WHEN n_columns = 5 THEN 1.0 ELSE v[6] END AS confidence FROM d WHERE reason IS NULL",
+    "p4_found": """WITH i AS (SELECT recording, round(start_time_secs * 1000)::BIGINT AS s, round(start_time_secs * 1000)::BIGINT + round(duration_secs * 1000)::BIGINT AS e FROM ctm_words
+  WHERE recording IS NOT NULL AND isfinite(start_time_secs) AND start_time_secs >= 0 AND isfinite(duration_secs) AND duration_secs > 0),
+m AS (SELECT *, max(e) OVER (PARTITION BY recording ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
+g AS (SELECT *, sum(CASE WHEN s <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY recording ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m),
+p AS (SELECT recording, min(s) AS start_ms, max(e) AS end_ms FROM g GROUP BY recording, k),
+n AS (SELECT *, lead(start_ms) OVER (PARTITION BY recording ORDER BY start_ms) AS after FROM p)
+SELECT recording, 'period' AS piece, start_ms, end_ms FROM n UNION ALL SELECT recording, 'gap', end_ms, after FROM n WHERE after - end_ms > 0 AND after - end_ms < 3600000""",
+}
