@@ -9,7 +9,7 @@ common supertype "node" with the keys ``norm_id, label_id, cand_no, word_no`` of
 words, or an entity without candidates, leaves a node ``empty``.
 
 Defined cases: null, invalid and empty bodies give nothing (``NaN`` and ``Infinity`` are no
-JSON); a single value in place of a list is a list of one; lists in lists are read through;
+JSON, nor is nesting too deep to read); a single value in place of a list is a list of one; lists in lists are read through;
 null candidates and null words are none; numbers and truth values become text as written;
 objects among words are no words; of repeated keys the last counts.
 """
@@ -70,7 +70,7 @@ def state(node) -> str:
     below = {k: state(v) for k, v in node.items()}
     if any(k.strip().isdigit() for k in node) or "entity" in below.values():
         return "entities"
-    if "entities" in below.values():
+    if "entities" in below.values() or "wrapper" in below.values():
         return "wrapper"
     return "other"
 
@@ -111,8 +111,15 @@ def _other(node, path: str):
             yield at, _text(x)
 
 
-def nodes_of(norm_id: int, body: str | None):
+def nodes_of(norm_id: int, body: str | None) -> list[tuple]:
     """Rows of ``_NODES`` for a document."""
+    try:
+        return list(_nodes_of(norm_id, body))
+    except RecursionError:
+        return []
+
+
+def _nodes_of(norm_id: int, body: str | None):
     for label, entity in _entities(parse(body)):
         members = entity if isinstance(entity, dict) else {}
         cls = members.get("class")
