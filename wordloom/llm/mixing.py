@@ -85,7 +85,7 @@ def budgets(targets: dict[str, tuple[float, int]], available: dict[str, int], to
             given[s] = Fraction(most[s])
             left -= most[s]
             del open_[s]
-    return [Plan(s, w, r, available.get(s, 0), int(given[s])) for s, (w, r) in targets.items()]
+    return [Plan(s, w, r, available.get(s, 0), min(round(given[s]), most[s])) for s, (w, r) in targets.items()]
 
 
 def pfair(weights: dict[str, int], slots: int) -> list[str]:

@@ -218,11 +218,14 @@ def rank_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int
 
 
 def isotonic(score: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Isotonic regression by pooling adjacent violators: scores and the levels at them."""
-    order = np.argsort(score, kind="stable")
+    """Isotonic regression by pooling adjacent violators: scores and the levels at them.
+
+    Scores that agree to nine digits are one point, with the mean of their grades.
+    """
+    points, at = np.unique(score.round(9), return_inverse=True)
     blocks: list[list[float]] = []  # sum, count, first score, last score
-    for s, g in zip(score[order], grade[order], strict=True):
-        blocks.append([g, 1, s, s])
+    for s, g, n in zip(points, np.bincount(at, grade), np.bincount(at), strict=True):
+        blocks.append([g, n, s, s])
         while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
             g2, c2, _, z2 = blocks.pop()
             blocks[-1][0] += g2
