@@ -32,7 +32,7 @@ _DIAG, _DEL, _EMPTY, _INS = 0, 1, 2, 3
 _BIG = np.int64(1) << 61
 #: Back-pointers of so many cells are kept at a time.
 CELLS = 16_000_000
-FIRST_BAND = 128
+FIRST_BAND = 1024
 
 STITCH_FIELDS = "seq long, class_label string, span long, ref_tok string, hyp_tok string, op string, ref_row long, span_row long, span_rows long"
 
@@ -213,11 +213,77 @@ def _best(graph: ReferenceGraph, hyp: list[str], rate: Fraction | None) -> tuple
             # A path outside the band has more than ``band`` errors and at most ``most`` words.
             if (errors <= band if rate is None else words and Fraction(errors, words) * max(most, 1) <= band):
                 return value, steps
-        band *= 4
+        band *= 2
+
+
+def _linear(ref: list[str], hyp: list[str]) -> list[tuple[int, int, int]]:
+    """Steps (operation, reference place, hypothesis place) of two sequences, by the same rules as ``_Rows``.
+
+    Without alternatives the number of reference words is fixed, so the least errors, then
+    the least cost, are the whole objective, and a row takes a handful of numpy calls.
+    """
+    n, m = len(ref), len(hyp)
+    bits = (3 * (n + m) + 3).bit_length()
+    kind = np.int32 if (n + m + 1).bit_length() + bits < 31 else np.int64
+    unit = 1 << bits
+    step, sub = kind(unit + 2), kind(unit + 3)
+    places: dict[str, list[int]] = {}
+    for j, w in enumerate(hyp):
+        places.setdefault(w, []).append(j)
+    where = {w: np.array(p) for w, p in places.items()}
+    slope = np.arange(m + 1, dtype=kind) * step
+    cand = np.empty(m + 1, kind)
+
+    def advance(row: np.ndarray, first: int, end: int, back: np.ndarray | None) -> np.ndarray:
+        for i in range(first, end):
+            np.add(row[:-1], sub, out=cand[1:])
+            same = where.get(ref[i])
+            if same is not None:
+                cand[same + 1] = row[same]
+            cand[0] = np.iinfo(kind).max
+            down = row + step
+            if back is not None:
+                how = (down < cand).view(np.uint8)
+            np.minimum(cand, down, out=cand)
+            run = np.minimum.accumulate(cand - slope)
+            run += slope
+            if back is not None:
+                how[run < cand] = _INS
+                back[i - first] = how
+            row = run
+        return row
+
+    # Back-pointers are kept for one stretch of rows, from a row saved at its start.
+    stretch = max(1, CELLS // (m + 1))
+    back = np.empty((min(n, stretch), m + 1), np.uint8)
+    saved = [slope.copy()]
+    for first in range(0, n - stretch, stretch):
+        saved.append(advance(saved[-1], first, first + stretch, None))
+    steps = []
+    i, j, held = n, m, -1
+    while i or j:
+        if i and (i - 1) // stretch != held:
+            held = (i - 1) // stretch
+            advance(saved[held], held * stretch, min(n, (held + 1) * stretch), back)
+        op = int(back[(i - 1) % stretch, j]) if i else _INS
+        if op == _INS:
+            j -= 1
+            steps.append((_INS, i, j))
+        elif op == _DEL:
+            i -= 1
+            steps.append((_DEL, i, j - 1))
+        else:
+            i, j = i - 1, j - 1
+            steps.append((_DIAG, i, j))
+    steps.reverse()
+    return steps
 
 
 def align_graph(graph: ReferenceGraph, hyp: list[str]) -> list[Step]:
     """The best alignment of a finished graph with the words of a hypothesis."""
+    if not graph.spans:
+        arcs = [graph.into[v][0] for v in graph.order[1:]]
+        return _steps(graph, [(op, arcs[i] if op != _INS else None, j) for op, i, j in _linear([a.word for a in arcs], hyp)], hyp)
     value, steps = _best(graph, hyp, None)
     varies = len({len(graph.into[v]) for v in range(graph.size)} - {0, 1}) > 0
     if varies:
@@ -241,6 +307,7 @@ def align_graph(graph: ReferenceGraph, hyp: list[str]) -> list[Step]:
 def _steps(graph: ReferenceGraph, steps: list, hyp: list[str]) -> list[Step]:
     out: list[Step] = []
     inside = -1
+    filled = {a.span for op, a, _ in steps if op in (_DIAG, _DEL)}
     for n, (op, arc, j) in enumerate(steps):
         if op == _INS:
             # An insertion between two words of a span belongs to it.
@@ -252,8 +319,7 @@ def _steps(graph: ReferenceGraph, steps: list, hyp: list[str]) -> list[Step]:
             if not arc.mark and arc.span >= 0:
                 name = graph.spans[arc.span]
                 fallback = name.rstrip("_").endswith("_" + FALLBACK)
-                empty = not any(a.word is not None and a.span == arc.span for o, a, _ in steps if o in (_DIAG, _DEL))
-                if empty:
+                if arc.span not in filled:
                     out.append(Step("noop", NOOP, NOOP, arc.span) if fallback else Step("empty", "", "", arc.span))
         elif op == _DEL:
             out.append(Step("del", arc.word, DEL, arc.span, arc.row))
@@ -296,6 +362,16 @@ def graph_of(tokens: list[str], spans: list[dict] | None, rules: dict[tuple[str,
     return graph
 
 
+def spread(pairs: DataFrame) -> DataFrame:
+    """Pairs over many tasks.
+
+    Pairs are small beside the work that they take, so the sizes in bytes by which Spark
+    joins partitions would leave most cores idle.
+    """
+    spark = pairs.sparkSession
+    return pairs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
 def align_pairs(pairs: DataFrame, rules: list[tuple[list[str], list[list[str]]]] | None = None) -> DataFrame:
     """Stitches of pairs ``utt_id, ref, hyp[, spans][, rules]``: ``utt_id`` and ``STITCH_FIELDS``.
 
@@ -328,7 +404,7 @@ def align_pairs(pairs: DataFrame, rules: list[tuple[list[str], list[list[str]]]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], fields)
 
     kind = pairs.schema["utt_id"].dataType.simpleString()
-    return pairs.select("utt_id", "ref", "hyp", *names).mapInArrow(run, f"utt_id {kind}, {STITCH_FIELDS}")
+    return spread(pairs.select("utt_id", "ref", "hyp", *names)).mapInArrow(run, f"utt_id {kind}, {STITCH_FIELDS}")
 
 
 # --- lattices ----------------------------------------------------------------------------

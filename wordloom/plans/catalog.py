@@ -6,6 +6,7 @@ reference with errors injected by arithmetic on places, which SQL repeats.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -211,7 +212,8 @@ def aligned_nlp_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.json_log(injected(spark, sf_dir), case=True, threshold=2)
+    # Ten tables come from the same stitches; they are kept until clearCache.
+    return reports.json_log(injected(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK), case=True, threshold=2)
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.tokens import best_label, class_marker, label_number
 from wordloom.operators import graphs, metrics, stitches as st
-from wordloom.operators.align import align_pairs
+from wordloom.operators.align import align_pairs, spread
 from wordloom.sinks import reports
 
 
@@ -206,4 +206,4 @@ def oracle_wer(ref: DataFrame, arcs: DataFrame, use_case: bool = False) -> DataF
             yield pd.DataFrame(out, columns=["utt_id", "ins", "del", "sub", "n_ref", "errors"])
 
     kind = ref.schema["utt_id"].dataType.simpleString()
-    return lattices.join(words, "utt_id", "left").select("utt_id", "ref", "arcs").mapInPandas(run, f"utt_id {kind}, ins long, del long, sub long, n_ref long, errors long")
+    return spread(lattices.join(words, "utt_id", "left").select("utt_id", "ref", "arcs")).mapInPandas(run, f"utt_id {kind}, ins long, del long, sub long, n_ref long, errors long")
