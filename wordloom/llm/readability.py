@@ -188,10 +188,10 @@ def features(documents: DataFrame, row_id: str = "doc_id", text: str = "text") -
 def standardised(rows: DataFrame, min_words: int) -> DataFrame:
     """Features less the mean of the language, in deviations of it; texts too short take no part."""
     long = rows.where(F.col("words") >= min_words).withColumn("language", F.coalesce("language", F.lit("?")))
-    # One row per language: the sums are combined before the shuffle.
+    # One row for each of the languages of this module and one for none: a few rows whatever the corpus.
     stats = long.groupBy("language").agg(*[f(c).alias(f"_{n}_{c}") for c in FEATURES for n, f in (("m", F.avg), ("s", F.stddev_pop))])
     z = [((F.col(c) - F.col(f"_m_{c}")) / F.greatest(F.col(f"_s_{c}"), F.lit(1e-9))).alias(c) for c in FEATURES]
-    return long.join(stats, "language").select("doc_id", "language", *z)
+    return long.join(F.broadcast(stats), "language").select("doc_id", "language", *z)
 
 
 def rank_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
