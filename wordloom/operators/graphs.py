@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.tokens import words_of
+from wordloom.operators.blocks import BLOCK
 
 #: Most static synonym rules that are sent to every task.
 MAX_RULES = 100_000
@@ -83,12 +84,16 @@ def rule_matches(tokens: DataFrame, rules: DataFrame, key: str = "utt_id") -> Da
     """``key, pos, lhs, alts``: where the left side of a rule stands in a linear text.
 
     Rules are looked up by their first word (a hash join), then the words that follow are
-    compared; positions must be consecutive rows of ``tokens`` (``key, pos, token``).
+    compared.  ``tokens`` (``key, pos, token``) are numbered without holes.
     """
-    longest = rules.agg(F.max(F.size("lhs"))).head()[0] or 0
-    order = Window.partitionBy(key).orderBy("pos")
+    longest = rules.agg(F.max(F.size("lhs"))).head()[0] or 1
+    # Blocks of a text with the words that follow them, so that no text is sorted in one task.
+    block = F.floor(F.col("pos") / BLOCK)
+    homes = F.when((F.col("pos") % BLOCK < longest - 1) & (longest > 1), F.array(block, block - 1)).otherwise(F.array(block))
+    rows = tokens.select(key, "pos", "token", F.explode(homes).alias("_block"))
+    order = Window.partitionBy(key, "_block").orderBy("pos")
     ahead = [F.col("token"), *[F.lead("token", i).over(order) for i in range(1, longest)]]
-    seen = tokens.select(key, "pos", "token", F.array(*ahead).alias("_ahead"))
+    seen = rows.select(key, "pos", "token", "_block", F.array(*ahead).alias("_ahead")).where(F.col("_block") == block)
     by_first = rules.withColumn("token", F.col("lhs")[0])
     return seen.join(by_first, "token").where(F.slice("_ahead", 1, F.size("lhs")) == F.col("lhs")).select(key, "pos", "lhs", "alts")
 

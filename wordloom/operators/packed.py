@@ -92,7 +92,7 @@ def infer_delimiters(rows: DataFrame) -> DataFrame:
         .groupBy("field")
         .agg(F.max_by("_shape", F.struct("_n", "_shape")).alias("_main"))
     )
-    many = texts.where(~simple).join(shapes, "field", "left").withColumn("_layout", _layout(F.col("_bare")))
+    many = texts.where(~simple).join(F.broadcast(shapes), "field", "left").withColumn("_layout", _layout(F.col("_bare")))
 
     def regular(p: Column) -> Column:
         quoted = p.rlike(f"(?s)^(?:{_SINGLE}|{_DOUBLE})$")

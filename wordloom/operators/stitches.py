@@ -62,9 +62,10 @@ def with_rows(stitches: DataFrame, rows: DataFrame) -> DataFrame:
     indexed = numbered(first).select("utt_id", "idx", F.struct(*ROW_COLUMNS).alias("nlp"))
     said = F.col("op").isin("cor", "sub", "del", "noop")
     in_span = F.col("span").isNotNull()
-    # Words of a span, numbered; a span is as long as one rule or entity.
-    span = Window.partitionBy("utt_id", "span")
-    told = stitches.where(F.col("op") != "empty").withColumns({"_w": F.when(in_span & said, F.sum(said.cast("int")).over(span)), "_k": F.when(in_span & said, F.sum(said.cast("int")).over(span.orderBy("seq")) - 1)})
+    # Words of a span, numbered; a span is as long as one rule or entity, and what is outside spans goes by blocks.
+    span = Window.partitionBy("utt_id", "span", "_lane")
+    laned = stitches.where(F.col("op") != "empty").withColumn("_lane", F.when(~in_span, F.floor(F.col("seq") / 4096)))
+    told = laned.withColumns({"_w": F.when(in_span & said, F.sum(said.cast("int")).over(span)), "_k": F.when(in_span & said, F.sum(said.cast("int")).over(span.orderBy("seq")) - 1)})
     w, k, r = F.col("_w"), F.col("_k"), F.col("span_rows")
     row = (
         F.when(~said, F.lit(None))
@@ -93,7 +94,7 @@ def with_rows(stitches: DataFrame, rows: DataFrame) -> DataFrame:
         .when((F.col("suffix") == ",split_worst") & (k > 0) & (k < w - 1), between)
         .otherwise(F.col("_own"))
     )
-    return full.withColumn("nlp", nlp).drop("_w", "_k", "_row", "_lead", "_last", "_own", "_head", "_mark")
+    return full.withColumn("nlp", nlp).drop("_w", "_k", "_lane", "_row", "_lead", "_last", "_own", "_head", "_mark")
 
 
 def flat(stitches: DataFrame) -> DataFrame:
