@@ -121,3 +121,30 @@ def test_command_line(spark, tmp_path):
     assert (tmp_path / "o.nlp").read_text().splitlines()[1:] == ["Hi|1|1.0000|2.0000|,||UC|[]|['1']||||", "we|1|2.0000|3.0000|||LC|[]|[]|||,push_last|", "will|1|3.0000|4.0000|.||LC|[]|[]|||,push_last|"]
     assert "###1_T###|" in (tmp_path / "o.sbs").read_text()
     assert json.loads((tmp_path / "o.json").read_text())["wer"]["bestWER"]["numErrors"] == 0
+
+
+def test_harness_and_graph_lines():
+    from wordloom.operators.align import graph_of
+    from wordloom.plans.harness import made_pair, measure
+
+    ref, hyp, made = made_pair(300, 0.1, 0.2, 0.1, seed=3)
+    assert len(ref) == 300
+    assert 0 < made <= 120
+    assert measure(50, 0.1, 0.1, 0.1, 2)["pairs"] == 2
+    graph = graph_of(["a", "b"], [{"first": 1, "last": 1, "marker": "___0_X___", "candidates": [["c", "d"]]}], None)
+    assert sorted(graph.lines()) == sorted(["0 1 a", "1 3 c ___0_X___", "3 2 d ___0_X___", "1 2 b ___0_X___"])
+    assert graph.lines(2) == []
+
+
+def test_noise_codes_and_steps(spark):
+    from wordloom.operators.stitches import out_of_step
+    from wordloom.plans.wer import wer
+
+    ref = one(spark, "utt_id string, pos long, token string, speaker string", ("u", 1, "<foreign:fr>", "1"), ("u", 2, "B", "1"))
+    hyp = one(spark, "utt_id string, pos long, token string", ("u", 1, "<unk>"), ("u", 2, "b"))
+    got = wer(ref, hyp)
+    r = got.best().head()
+    assert (r.errors, r.n_ref) == (0, 2)
+    assert out_of_step(got.stitches).count() == 0
+    assert [x.line.split("|")[0] for x in got.aligned().orderBy("seq").collect()] == ["<foreign:fr>", "B"]
+    assert {x.why for x in out_of_step(got.stitches.withColumn("hyp_orig", F.lit("z"))).collect()} == {"heard"}

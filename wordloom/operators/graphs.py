@@ -204,6 +204,12 @@ class ReferenceGraph:
             self.arcs.append(Arc(src, enter, None, outer, 1))
             self.path(enter, alt, outer, end)
 
+    def lines(self, most: int = 100) -> list[str]:
+        """The arcs as text, ``source target word span``, for looking at a graph of at most so many nodes."""
+        if self.size > most:
+            return []
+        return [f"{a.src} {a.dst} {a.word or '<eps>'} {self.spans[a.span] if a.span >= 0 else ''}".rstrip() for a in self.arcs]
+
     def finish(self) -> None:
         """Topological order and the arcs into each node."""
         after: list[list[Arc]] = [[] for _ in range(self.size)]

@@ -100,3 +100,16 @@ def with_rows(stitches: DataFrame, rows: DataFrame) -> DataFrame:
 def flat(stitches: DataFrame) -> DataFrame:
     """Stitches with the fields of their row as columns: ``speaker, punctuation, casing, nlp_token, tags``."""
     return stitches.withColumns({"speaker": F.col("nlp.speaker"), "punctuation": F.col("nlp.punctuation"), "casing": F.col("nlp.casing"), "nlp_token": F.col("nlp.token"), "tags": F.regexp_extract_all(F.coalesce("nlp.wer_tags", F.lit("")), F.lit("'([^']*)'"), F.lit(1))})
+
+
+def out_of_step(stitches: DataFrame) -> DataFrame:
+    """``utt_id, seq, why``: stitches that do not fit what they were joined with.
+
+    ``heard``: the hypothesis word is another one or missing; ``row``: a reference word has no
+    row.  A sound join gives none.
+    """
+    heard = F.col("op").isin("cor", "sub", "ins") & ~F.coalesce(F.lower("hyp_orig") == F.lower("hyp_tok"), F.lit(False))
+    why = F.when(heard, "heard")
+    if "nlp" in stitches.columns:
+        why = why.when(F.col("op").isin("cor", "sub", "del") & F.col("nlp").isNull(), "row")
+    return stitches.select("utt_id", "seq", why.alias("why")).where(F.col("why").isNotNull())

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.functions import tokens as fn
 from wordloom.functions.tokens import best_label, class_marker, label_number
 from wordloom.operators import graphs, metrics, stitches as st
 from wordloom.operators.align import align_pairs, spread
@@ -49,6 +50,9 @@ def normalised(tokens: DataFrame, options: WerOptions) -> DataFrame:
     else:
         out = out.withColumn("row_token", F.col("token"))
     out = out.withColumn("spoken", F.col("token"))
+    if "speaker" in tokens.columns:
+        # A noise code with an argument is no known word; its row keeps it.
+        out = out.withColumn("token", F.when(F.col("token").rlike(r"^<[^:>]*:[^>]*>$"), fn.UNK).otherwise(F.col("token")))
     return out if options.use_case else out.withColumn("token", F.lower("token"))
 
 
