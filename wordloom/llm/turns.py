@@ -39,6 +39,15 @@ def _framed(token: Column) -> Column:
     return F.regexp_replace(token, _LOOSE_ENDS, "")
 
 
+def _counted(tokens: DataFrame, column: str) -> DataFrame:
+    """The distinct texts of a column with their counts, kept.
+
+    What is made of a text must come after the count: Spark would otherwise evaluate it for
+    every row, since it depends on the grouping key alone.
+    """
+    return tokens.groupBy(F.col(column).alias("text")).agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _sent(small: DataFrame) -> DataFrame:
     """A table of layouts or labels, kept and sent to every task if its rows are counted to be few, else joined by shuffle."""
     kept = small.persist(StorageLevel.MEMORY_AND_DISK)
@@ -56,8 +65,8 @@ def classified(tokens: DataFrame, detail: bool = False, size: int = BLOCK) -> Da
     marks are in ``mark`` (``open`` or ``close`` with the mark).
     """
     # Templates and speaker labels are worked out on distinct texts, counted before the shuffle.
-    texts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).select(F.lit("token").alias("field"), _framed(plain(F.col("token"))).alias("text"), "n")
-    labels = tokens.groupBy(F.col("speaker").alias("_label")).agg(F.count(F.lit(1)).alias("n")).withColumn("text", layouts.numbered(plain(F.col("_label"))))
+    texts = _counted(tokens, "token").select(F.lit("token").alias("field"), _framed(plain(F.col("text"))).alias("text"), "n")
+    labels = _counted(tokens, "speaker").select(F.col("text").alias("_label"), layouts.numbered(plain(F.col("text"))).alias("text"), "n")
     roles = layouts.roles(layouts.mine(texts.unionByName(labels.select(F.lit("speaker").alias("field"), "text", "n"))))
     by_token = _sent(roles.where(F.col("field") == "token").select(F.col("path").alias("_tp"), F.col("role").alias("_role")))
     slots = roles.where(F.col("field") == "speaker").select(F.col("path").alias("_sp"), F.col("slot").alias("_slot"))
