@@ -158,3 +158,23 @@ def test_lattice_oracle():
     assert c == {"ins": 0, "del": 1, "sub": 0, "n_ref": 9}
     with pytest.raises(ValueError, match="cycle"):
         A.oracle_words(["a"], [(0, 1, "a"), (1, 0, "b")], 0, {1})
+
+
+def test_all_programs_agree(monkeypatch):
+    rng = random.Random(3)
+    pairs = []
+    for _ in range(250):
+        a = [rng.choice("abcde") for _ in range(rng.randint(0, 40))]
+        b = [rng.choice("abcde") if rng.random() < 0.2 else x for x in a if rng.random() > 0.15] + [rng.choice("ab")] * rng.randint(0, 9)
+        pairs.append((a, b))
+    told = lambda steps: [(s.op, s.ref, s.hyp, s.row) for s in steps]
+    monkeypatch.setattr(A, "LONG", 10**9)
+    by_rows = [told(A.align_words(a, b)) for a, b in pairs]
+    graphs = [A.graph_of(a, None, None) for a, _ in pairs]
+    for cells in (16_000_000, 3_000):
+        monkeypatch.setattr(A, "CELLS", cells)
+        assert [told(s) for s in A.align_graphs(graphs, [b for _, b in pairs])] == by_rows
+    monkeypatch.setattr(A, "LONG", 0)
+    for cells in (16_000_000, 300):
+        monkeypatch.setattr(A, "CELLS", cells)
+        assert [told(A.align_words(a, b)) for a, b in pairs] == by_rows

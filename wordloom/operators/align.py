@@ -23,6 +23,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from wordloom.functions.tokens import DEL, FALLBACK, GLOBAL, INS, NOOP, UNCOUNTED
@@ -30,8 +31,12 @@ from wordloom.operators.graphs import Arc, ReferenceGraph
 
 _DIAG, _DEL, _EMPTY, _INS = 0, 1, 2, 3
 _BIG = np.int64(1) << 61
+#: Sequences of at least so many words go by diagonals.
+LONG = 4_000
 #: Back-pointers of so many cells are kept at a time.
 CELLS = 16_000_000
+#: Pairs of so many words in all are aligned together.
+WORDS = 100_000
 FIRST_BAND = 1024
 
 STITCH_FIELDS = "seq long, class_label string, span long, ref_tok string, hyp_tok string, op string, ref_row long, span_row long, span_rows long"
@@ -219,6 +224,8 @@ def _best(graph: ReferenceGraph, hyp: list[str], rate: Fraction | None) -> tuple
 def _linear(ref: list[str], hyp: list[str]) -> list[tuple[int, int, int]]:
     """Steps (operation, reference place, hypothesis place) of two sequences, by the same rules as ``_Rows``.
 
+    Long ones go by diagonals instead of rows (``_diagonals``).
+
     Without alternatives the number of reference words is fixed, so the least errors, then
     the least cost, are the whole objective, and a row takes a handful of numpy calls.
     """
@@ -227,12 +234,15 @@ def _linear(ref: list[str], hyp: list[str]) -> list[tuple[int, int, int]]:
     kind = np.int32 if (n + m + 1).bit_length() + bits < 31 else np.int64
     unit = 1 << bits
     step, sub = kind(unit + 2), kind(unit + 3)
+    if min(n, m) >= LONG:
+        return _diagonals(ref, hyp, step, sub)
     places: dict[str, list[int]] = {}
     for j, w in enumerate(hyp):
         places.setdefault(w, []).append(j)
     where = {w: np.array(p) for w, p in places.items()}
     slope = np.arange(m + 1, dtype=kind) * step
     cand = np.empty(m + 1, kind)
+    most = np.iinfo(kind).max
 
     def advance(row: np.ndarray, first: int, end: int, back: np.ndarray | None) -> np.ndarray:
         for i in range(first, end):
@@ -240,7 +250,7 @@ def _linear(ref: list[str], hyp: list[str]) -> list[tuple[int, int, int]]:
             same = where.get(ref[i])
             if same is not None:
                 cand[same + 1] = row[same]
-            cand[0] = np.iinfo(kind).max
+            cand[0] = most
             down = row + step
             if back is not None:
                 how = (down < cand).view(np.uint8)
@@ -279,6 +289,173 @@ def _linear(ref: list[str], hyp: list[str]) -> list[tuple[int, int, int]]:
     return steps
 
 
+def _diagonals(ref: list[str], hyp: list[str], step: np.integer, sub: np.integer) -> list[tuple[int, int, int]]:
+    """As ``_linear``, by diagonals of equal i + j: no cell of one depends on another, so nothing runs along it."""
+    n, m = len(ref), len(hyp)
+    kind = type(step)
+    ids: dict[str, int] = {}
+    a = np.array([ids.setdefault(w, len(ids)) for w in ref], np.int32)
+    b = np.array([ids.setdefault(w, len(ids)) for w in hyp], np.int32)[::-1].copy()
+    width = min(n, m) + 1
+    cost, moved = np.empty(width, kind), np.empty(width + 1, kind)
+    other, less = np.empty(width, bool), np.empty(width, bool)
+
+    def advance(before: np.ndarray, last: np.ndarray, first: int, end: int, back: list | None) -> tuple[np.ndarray, np.ndarray]:
+        """Diagonals ``first`` to ``end`` - 1, from the two ahead of them; arrays go by the reference place."""
+        for k in range(first, end):
+            now = np.empty(n + 1, kind)
+            if k <= m:
+                now[0] = k * step
+            if k <= n:
+                now[k] = k * step
+            i, z = max(1, k - m), min(n, k - 1)  # cells with words on both sides
+            size = z - i + 1
+            if size <= 0:
+                if back is not None:
+                    back.append((i, None))
+                before, last = last, now
+                continue
+            best, neq, won = cost[:size], other[:size], less[:size]
+            np.not_equal(a[i - 1 : z], b[m - k + i : m - k + z + 1], out=neq)
+            np.multiply(neq, sub, out=best)
+            best += before[i - 1 : z]
+            p = moved[: size + 1]
+            np.add(last[i - 1 : z + 1], step, out=p)
+            if back is not None:
+                how = (p[:-1] < best).view(np.uint8)
+            np.minimum(best, p[:-1], out=best)
+            if back is not None:
+                np.less(p[1:], best, out=won)
+                np.putmask(how, won, _INS)
+                back.append((i, how))
+            np.minimum(best, p[1:], out=now[i : z + 1])
+            before, last = last, now
+        return before, last
+
+    origin = np.zeros(n + 1, kind)
+    stretch = max(2, CELLS // width)
+    saved = [(origin, origin)]
+    total = n + m + 1
+    for first in range(1, total - stretch, stretch):
+        saved.append(advance(*saved[-1], first, first + stretch, None))
+    back: list = []
+    steps = []
+    i, j, held = n, m, -1
+    while i or j:
+        if j == 0:
+            i -= 1
+            steps.append((_DEL, i, -1))
+            continue
+        if i == 0:
+            j -= 1
+            steps.append((_INS, 0, j))
+            continue
+        k = i + j
+        if (k - 1) // stretch != held:
+            held = (k - 1) // stretch
+            back = []
+            advance(*saved[held], held * stretch + 1, min(total, (held + 1) * stretch + 1), back)
+        start, how = back[(k - 1) % stretch]
+        op = int(how[i - start])
+        if op == _INS:
+            j -= 1
+            steps.append((_INS, i, j))
+        elif op == _DEL:
+            i -= 1
+            steps.append((_DEL, i, j - 1))
+        else:
+            i, j = i - 1, j - 1
+            steps.append((_DIAG, i, j))
+    steps.reverse()
+    return steps
+
+
+def _together(pairs: list[tuple[list[str], list[str]]]) -> list[list[tuple[int, int, int]]]:
+    """Steps of several short pairs as ``_linear`` gives them, each numpy call serving all.
+
+    Diagonals as in ``_diagonals`` with an axis for the pairs; shorter ones are padded by
+    words that match nothing, which no path to their own end touches.
+    """
+    ns, ms = [len(r) for r, _ in pairs], [len(h) for _, h in pairs]
+    n, m, count = max(ns), max(ms), len(pairs)
+    bits = (3 * (n + m) + 3).bit_length()
+    kind = np.int32 if (n + m + 1).bit_length() + bits < 31 else np.int64
+    step, sub = kind((1 << bits) + 2), kind((1 << bits) + 3)
+    a, b = np.full((n, count), -1, np.int32), np.full((m, count), -2, np.int32)
+    for p, (ref, hyp) in enumerate(pairs):
+        ids: dict[str, int] = {}
+        a[: len(ref), p] = [ids.setdefault(w, len(ids)) for w in ref]
+        b[: len(hyp), p] = [ids.setdefault(w, len(ids)) for w in hyp]
+    b = b[::-1].copy()
+    width = min(n, m) + 1
+    cost, moved = np.empty((width, count), kind), np.empty((width + 1, count), kind)
+    other, less = np.empty((width, count), bool), np.empty((width, count), bool)
+    back: list[tuple[int, np.ndarray | None]] = []
+    before = last = np.zeros((n + 1, count), kind)
+    for k in range(1, n + m + 1):
+        now = np.empty((n + 1, count), kind)
+        if k <= m:
+            now[0] = k * step
+        if k <= n:
+            now[k] = k * step
+        i, z = max(1, k - m), min(n, k - 1)
+        size = z - i + 1
+        if size <= 0:
+            back.append((i, None))
+        else:
+            best, neq, won, q = cost[:size], other[:size], less[:size], moved[: size + 1]
+            np.not_equal(a[i - 1 : z], b[m - k + i : m - k + z + 1], out=neq)
+            np.multiply(neq, sub, out=best)
+            best += before[i - 1 : z]
+            np.add(last[i - 1 : z + 1], step, out=q)
+            how = (q[:-1] < best).view(np.uint8)
+            np.minimum(best, q[:-1], out=best)
+            np.less(q[1:], best, out=won)
+            np.putmask(how, won, _INS)
+            back.append((i, how))
+            np.minimum(best, q[1:], out=now[i : z + 1])
+        before, last = last, now
+    out = []
+    for p in range(count):
+        i, j, steps = ns[p], ms[p], []
+        while i and j:
+            start, how = back[i + j - 1]
+            op = int(how[i - start, p])
+            if op == _INS:
+                j -= 1
+                steps.append((_INS, i, j))
+            elif op == _DEL:
+                i -= 1
+                steps.append((_DEL, i, j - 1))
+            else:
+                i, j = i - 1, j - 1
+                steps.append((_DIAG, i, j))
+        steps += [(_DEL, x, -1) for x in range(i - 1, -1, -1)] + [(_INS, 0, y) for y in range(j - 1, -1, -1)]
+        steps.reverse()
+        out.append(steps)
+    return out
+
+
+def align_graphs(graphs: list[ReferenceGraph], hyps: list[list[str]]) -> list[list[Step]]:
+    """``align_graph`` of many; short ones without alternatives are aligned together, by size."""
+    out: list[list[Step] | None] = [None] * len(graphs)
+    plain = [k for k, g in enumerate(graphs) if not g.spans and 0 < g.size - 1 < LONG and 0 < len(hyps[k]) < LONG]
+    plain.sort(key=lambda k: (graphs[k].size, len(hyps[k])))
+    while plain:
+        n, m = graphs[plain[-1]].size, len(hyps[plain[-1]])
+        group: list[int] = []
+        # The largest first: with it as many others as the store of back-pointers holds and padding allows.
+        while plain and len(group) < 64 and graphs[plain[-1]].size * 4 >= n * 3:
+            m = max(m, len(hyps[plain[-1]]))
+            if group and (len(group) + 1) * n * m > CELLS:
+                break
+            group.append(plain.pop())
+        arcs = [[graphs[k].into[v][0] for v in graphs[k].order[1:]] for k in group]
+        for k, own, steps in zip(group, arcs, _together([([x.word for x in own], hyps[k]) for own, k in zip(arcs, group, strict=True)]), strict=True):
+            out[k] = _steps(graphs[k], [(op, own[i] if op != _INS else None, j) for op, i, j in steps], hyps[k])
+    return [s if s is not None else align_graph(g, h) for s, g, h in zip(out, graphs, hyps, strict=True)]
+
+
 def align_graph(graph: ReferenceGraph, hyp: list[str]) -> list[Step]:
     """The best alignment of a finished graph with the words of a hypothesis."""
     if not graph.spans:
@@ -289,17 +466,13 @@ def align_graph(graph: ReferenceGraph, hyp: list[str]) -> list[Step]:
     if varies:
         for _ in range(64):
             errors, words = _tally(steps, hyp)
-            if words == 0 and errors:
-                # Any path with words is better than errors over none.
-                rate = Fraction(errors + len(hyp) + graph.size)
-            else:
-                rate = Fraction(errors, words) if words else Fraction(0)
-            _, other = _best(graph, hyp, rate)
-            e, w = _tally(other, hyp)
-            steps = other
-            if e * max(words, 1) >= errors * w and words:
+            if errors == 0:
                 break
-            if not words and not errors:
+            # Any path with words is better than errors over none.
+            rate = Fraction(errors, words) if words else Fraction(errors + len(hyp) + graph.size)
+            steps = _best(graph, hyp, rate)[1]
+            e, w = _tally(steps, hyp)
+            if words and e * words >= errors * w:
                 break
     return _steps(graph, steps, hyp)
 
@@ -362,6 +535,16 @@ def graph_of(tokens: list[str], spans: list[dict] | None, rules: dict[tuple[str,
     return graph
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``WORDS`` words, the unit that is aligned together."""
+    size = sum(np.nan_to_num(pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False)) for c in ("ref", "hyp"))
+    part = np.cumsum(size) // WORDS
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, z in zip(edges, edges[1:], strict=False):
+        if z > a:
+            yield batch.slice(a, z - a)
+
+
 def spread(pairs: DataFrame) -> DataFrame:
     """Pairs over many tasks.
 
@@ -388,20 +571,21 @@ def align_pairs(pairs: DataFrame, rules: list[tuple[list[str], list[list[str]]]]
         types = [None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
             types[0] = batch.schema.field("utt_id").type
-            rows: list[tuple] = []
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                own = {tuple(r["lhs"]): r["alts"] for r in row.get("rules") or []} | common
-                graph = graph_of([w for w in row["ref"] or [] if w is not None], row.get("spans"), own)
-                for seq, s in enumerate(align_graph(graph, [w for w in row["hyp"] or [] if w is not None]), 1):
-                    inside = s.span >= 0
-                    place = graph.places[s.span] if inside else (None, None)
-                    rows.append((row["utt_id"], seq, graph.spans[s.span] if inside else GLOBAL, s.span if inside else None, s.ref, s.hyp, s.op, s.row if s.row >= 0 and not inside else None, *place))
-                if len(rows) > 50_000:
+            for part in _parts(batch):
+                columns = {c: part.column(c).to_pylist() for c in part.schema.names}
+                graphs, hyps = [], []
+                for i in range(part.num_rows):
+                    own = {tuple(r["lhs"]): r["alts"] for r in (columns["rules"][i] if "rules" in columns else None) or []} | common
+                    graphs.append(graph_of([w for w in columns["ref"][i] or [] if w is not None], columns["spans"][i] if "spans" in columns else None, own))
+                    hyps.append([w for w in columns["hyp"][i] or [] if w is not None])
+                rows: list[tuple] = []
+                for utt_id, graph, steps in zip(columns["utt_id"], graphs, align_graphs(graphs, hyps), strict=True):
+                    for seq, s in enumerate(steps, 1):
+                        inside = s.span >= 0
+                        place = graph.places[s.span] if inside else (None, None)
+                        rows.append((utt_id, seq, graph.spans[s.span] if inside else GLOBAL, s.span if inside else None, s.ref, s.hyp, s.op, s.row if s.row >= 0 and not inside else None, *place))
+                if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], fields)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], fields)
 
     kind = pairs.schema["utt_id"].dataType.simpleString()
     return spread(pairs.select("utt_id", "ref", "hyp", *names)).mapInArrow(run, f"utt_id {kind}, {STITCH_FIELDS}")
