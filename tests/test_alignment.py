@@ -8,6 +8,7 @@ from fractions import Fraction
 import pytest
 
 from wordloom.operators import align as A
+from wordloom.operators.greedy import align_greedy
 
 RULES = {
     "we will": ["we'll"], "we'll": ["we will"], "it is": ["it's"], "it's": ["it is"], "she's": ["she is"], "i'll": ["i will"], "wanna": ["want to"],
@@ -178,3 +179,42 @@ def test_all_programs_agree(monkeypatch):
     for cells in (16_000_000, 300):
         monkeypatch.setattr(A, "CELLS", cells)
         assert [told(A.align_words(a, b)) for a, b in pairs] == by_rows
+
+
+def greedily(ref, hyp, rules=None, spans=None, timed=False):
+    c = A.counts(align_greedy(A.graph_of(ref.split(), spans, rules), hyp.split(), not timed))
+    return c["ins"], c["del"], c["sub"], c["n_ref"]
+
+
+def test_greedy_golden_counts():
+    for ref, hyp, rules, expected in [
+        ("a b c", "", None, (0, 3, 0, 3)), ("", "a b c", None, (3, 0, 0, 0)), (*SYN_1, None, (3, 2, 3, 21)), (*SYN_1, RULES, (3, 2, 0, 21)), ("we will", "we'll", RULES, (0, 0, 0, 1)), ("we'll", "we will", RULES, (0, 0, 0, 2)),
+        ("we will", "no", RULES, (0, 1, 1, 2)), ("we'll", "will", RULES, (1, 1, 0, 1)), (*TEST_1, None, (1, 2, 7, 76)),
+    ]:
+        assert greedily(ref, hyp, rules_of(rules) if rules else None) == expected
+    for hyp, expected in [("a b c d want uh to e f g h i j", (2, 0, 1, 11)), ("a b c d want e f g h i j", (0, 0, 1, 11))]:
+        assert greedily("a b c d wanna e f g h i j", hyp, rules_of(RULES), timed=True) == expected
+    ref = "<crosstalk> yeah yeah right yeah all right probably just that are there any visuals that come to mind or- yeah sure when i hear foobar i think about just that foo a"
+    hyp = "<crosstalk> yeah right i'll do just that are there any visuals that come to mind or yeah sure when i hear foobar i think about just that foobar a"
+    assert greedily(ref, hyp, rules_of(RULES, ref, hyp)) == (0, 3, 3, 32)
+    ref, hyp = "what is our long term view on politics", "that is are long-term view on politics"
+    assert greedily(ref, hyp, rules_of({}, ref, hyp)) == (0, 0, 2, 7)
+
+
+@pytest.mark.parametrize(("middle", "expected"), [("ten bricks of bricks dollars", (1, 0, 0, 20)), ("bricks of bricks dollars", (2, 0, 2, 18)), ("ten bricks of bricks", (1, 0, 0, 19))])
+def test_greedy_synonyms_inside_entities(middle, expected):
+    ref = "it costs $10 billions but i'll verify what we could have done differently- for the 2nd"
+    hyp = f"it costs {middle} but i will verify what we could have done differently for the second day"
+    last = len(ref.split()) - 1
+    spans = [{"first": 2, "last": 3, "marker": "___0_MONEY___", "candidates": MONEY}, {"first": last, "last": last, "marker": "___1_ORDINAL___", "candidates": [["second"]]}]
+    assert greedily(ref, hyp, rules_of(RULES | {"ten billions": ["ten bricks of bricks"]}, ref, hyp), spans) == expected
+
+
+def test_greedy_is_never_better():
+    rng = random.Random(6)
+    for _ in range(200):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 8))] for _ in range(2))
+        steps = align_greedy(A.graph_of(a, None, None), b, True)
+        assert [s.ref for s in steps if s.op != "ins"] == a
+        assert [s.hyp for s in steps if s.op != "del"] == b
+        assert sum(s.op != "cor" for s in steps) >= distance(a, b)

@@ -555,13 +555,14 @@ def spread(pairs: DataFrame) -> DataFrame:
     return pairs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
 
 
-def align_pairs(pairs: DataFrame, rules: list[tuple[list[str], list[list[str]]]] | None = None) -> DataFrame:
+def align_pairs(pairs: DataFrame, rules: list[tuple[list[str], list[list[str]]]] | None = None, greedy: bool = False, empty_end: bool = False) -> DataFrame:
     """Stitches of pairs ``utt_id, ref, hyp[, spans][, rules]``: ``utt_id`` and ``STITCH_FIELDS``.
 
     ``ref`` and ``hyp`` are arrays of words (null: none); ``spans`` an array of entity spans
     (see ``graph_of``); ``rules`` of the argument hold for all pairs, those of the column
     (array of ``lhs, alts``) for their pair only, where no other rule has the same left side.
-    Words of no span have the class ``global``.
+    Words of no span have the class ``global``.  ``greedy`` aligns as ``greedy.align_greedy``
+    does, which takes ``empty_end``.
     """
     names = [c for c in ("spans", "rules") if c in pairs.columns]
     common = {tuple(lhs): alts for lhs, alts in rules or []}
@@ -579,7 +580,13 @@ def align_pairs(pairs: DataFrame, rules: list[tuple[list[str], list[list[str]]]]
                     graphs.append(graph_of([w for w in columns["ref"][i] or [] if w is not None], columns["spans"][i] if "spans" in columns else None, own))
                     hyps.append([w for w in columns["hyp"][i] or [] if w is not None])
                 rows: list[tuple] = []
-                for utt_id, graph, steps in zip(columns["utt_id"], graphs, align_graphs(graphs, hyps), strict=True):
+                if greedy:
+                    from wordloom.operators.greedy import align_greedy
+
+                    found = [align_greedy(g, h, empty_end) for g, h in zip(graphs, hyps, strict=True)]
+                else:
+                    found = align_graphs(graphs, hyps)
+                for utt_id, graph, steps in zip(columns["utt_id"], graphs, found, strict=True):
                     for seq, s in enumerate(steps, 1):
                         inside = s.span >= 0
                         place = graph.places[s.span] if inside else (None, None)

@@ -137,6 +137,7 @@ class ReferenceGraph:
     end: int = 0
     order: list[int] = field(default_factory=list)
     into: list[list[Arc]] = field(default_factory=list)
+    ways: dict[int, tuple[list[str], int]] = field(default_factory=dict)  # words and end of a synonym, by its first node
 
     def node(self) -> int:
         self.size += 1
@@ -202,6 +203,7 @@ class ReferenceGraph:
                 outer = len(self.spans) - 1
             enter = self.node()
             self.arcs.append(Arc(src, enter, None, outer, 1))
+            self.ways[enter] = (alt, end)
             self.path(enter, alt, outer, end)
 
     def lines(self, most: int = 100) -> list[str]:

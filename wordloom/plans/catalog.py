@@ -216,10 +216,10 @@ def json_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.json_log(injected(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK), case=True, threshold=2)
 
 
-def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token rows by segments of ``SEGMENT`` places, each an utterance."""
+def _segments(spark: SparkSession, sf_dir: str, size: int = SEGMENT) -> DataFrame:
+    """Token rows by segments of ``size`` places, each an utterance."""
     r = token_rows(spark, sf_dir)
-    return r.withColumns({"recording": F.col("utt_id"), "utt_id": F.concat_ws("#", "utt_id", F.floor(F.col("pos") / SEGMENT).cast("string")), "token": F.coalesce("token", F.lit(""))}).where(F.col("token") != "")
+    return r.withColumns({"recording": F.col("utt_id"), "utt_id": F.concat_ws("#", "utt_id", F.floor(F.col("pos") / size).cast("string")), "token": F.coalesce("token", F.lit(""))}).where(F.col("token") != "")
 
 
 def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,21 +249,26 @@ def _normalisations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ways.groupBy("recording", "label_id").agg(F.array_sort(F.collect_set("w")).alias("candidates"))
 
 
-def _entity_result(spark: SparkSession, sf_dir: str) -> plan.WerResult:
-    rows = _segments(spark, sf_dir)
+def _entity_result(spark: SparkSession, sf_dir: str, size: int = SEGMENT, approach: str = "exact") -> plan.WerResult:
+    rows = _segments(spark, sf_dir, size)
     label = F.when(F.col("best_label").rlike(r"^[0-9]+:[A-Z_]+$"), F.concat(F.lit("['"), "best_label", F.lit("']"))).otherwise("[]")
     ref = rows.select("utt_id", "recording", "pos", *[label.alias("labels") if c == "labels" else F.coalesce(c, F.lit("")).alias(c) for c in st.ROW_COLUMNS])
     hyp = inject_errors(rows.select("utt_id", "pos", "recording", F.lower("token").alias("token")), _number(F.col("recording")))
     heard = hyp.where(F.col("op") != "del").select("utt_id", F.col("seq").alias("pos"), F.col("hyp_tok").alias("token"))
     by_segment = ref.where(F.col("labels") != "[]").select("utt_id", "recording", F.regexp_extract("labels", "([0-9]+)", 1).alias("label_id")).distinct()
     norms = by_segment.join(_normalisations(spark, sf_dir), ["recording", "label_id"]).select("utt_id", "label_id", "candidates")
-    return plan.wer(ref.drop("recording"), heard, _rules(spark, sf_dir), norms)
+    return plan.wer(ref.drop("recording"), heard, _rules(spark, sf_dir), norms, plan.WerOptions(composition_approach=approach))
 
 
 def align_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entity_result(spark, sf_dir).best()
 
 
+def align_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``align_entities`` by the greedy approach, in short segments."""
+    return _entity_result(spark, sf_dir, 32, "adapted").best()
+
+
 def align_entity_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entity_result(spark, sf_dir).classes()
 
@@ -308,7 +313,7 @@ QUERIES = {
     "bigram_stats": bigram_stats, "unigrams_ranked": unigrams_ranked, "error_groups": error_groups, "sbs_lines": sbs_lines, "stitch_hyp_timing": stitch_hyp_timing,
     "entity_span_fusion": entity_span_fusion, "tag_resolution": tag_resolution, "synonym_rules_parse": synonym_rules, "vocabulary_union": vocabulary, "cutoff_synonyms": cutoff_synonyms,
     "compound_synonyms": compound_synonyms, "synonym_match_positions": synonym_match_positions, "aligned_nlp_rows": aligned_nlp_rows, "edit_distance": edit_distance, "json_log": json_log,
-    "align_documents": align_documents, "align_entities": align_entities, "align_entity_classes": align_entity_classes, "align_entity_rows": align_entity_rows,
+    "align_documents": align_documents, "align_entities": align_entities, "align_greedy": align_greedy, "align_entity_classes": align_entity_classes, "align_entity_rows": align_entity_rows,
     "oracle_lattice_wer": oracle_lattice_wer, "synthetic_wer": synthetic_wer,
 }
 

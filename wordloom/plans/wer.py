@@ -16,7 +16,11 @@ from wordloom.sinks import reports
 
 @dataclass(frozen=True)
 class WerOptions:
-    """What may be asked of a comparison; the names follow the usual command line."""
+    """What may be asked of a comparison; the names follow the usual command line.
+
+    ``composition_approach``: ``exact`` and ``standard`` give the least errors per word,
+    ``adapted`` the greedy alignment, which is for short pairs.
+    """
 
     disable_cutoffs: bool = False
     disable_hyphen_ignore: bool = False
@@ -98,7 +102,8 @@ def align(ref: DataFrame, hyp: DataFrame, rules: DataFrame | None = None, normal
         if len(found) > graphs.MAX_RULES:
             raise ValueError(f"more than {graphs.MAX_RULES} rules")
         static = [(list(x.lhs), [list(a) for a in x.alts]) for x in found]
-    return align_pairs(pairs, static)
+    greedy = options.composition_approach == "adapted"
+    return align_pairs(pairs, static, greedy, greedy and "duration" not in hyp.columns)
 
 
 def _own_rules(options: WerOptions) -> Column | None:
