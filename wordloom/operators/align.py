@@ -6,8 +6,8 @@ nodes of the reference graph in topological order, each with one numpy row over
 hypothesis.
 
 The best alignment has the least errors per reference word; of equal ones that with the fewest
-synonyms, then the least cost (insertion 1, deletion 1, substitution 1.5), then match before
-substitution, deletion and insertion.  Where alternatives make the number of reference words
+steps (a synonym is entered and left by a step each), then the least cost (insertion 1, deletion
+1, substitution 1.5), then match before substitution, deletion and insertion.  Where alternatives make the number of reference words
 vary, the ratio is found by Dinkelbach's rounds of the same program with exact integers.
 
 Two measures keep long pairs cheap and small, both exact: rows are limited to a band that is
@@ -65,20 +65,22 @@ class _Rows:
         self.ids = ids
         self._depths()
         longest = self.high[graph.end] + self.m + 2
-        # Weights in one integer: errors less rate times words, synonyms, cost in halves.
-        cost_bits, mark_bits = (3 * longest).bit_length(), min(longest.bit_length(), 12)
+        # Weights in one integer: errors less rate times words, then steps, then cost in halves.
         p, q = (rate.numerator, rate.denominator) if rate is not None else (0, 1)
         room = 60 - (longest * max(p, q)).bit_length()
-        if cost_bits + mark_bits > room:  # very long pairs give up ties first
-            cost_bits, mark_bits = max(0, room - 2) if room < cost_bits + 2 else cost_bits, 2 if room >= 2 else 0
-        unit = cost_bits + mark_bits
-        cost = lambda half: half if cost_bits else 0
-        self.w_ins = np.int64((q << unit) + cost(2))
-        self.w_del = np.int64(((q - p) << unit) + cost(2))
-        self.w_sub = np.int64(((q - p) << unit) + cost(3))
-        self.w_match = np.int64(-p << unit)
+        arc_bits = cost_bits = (3 * longest).bit_length()
+        if arc_bits + cost_bits > room:  # very long pairs give up the finer ties
+            cost_bits = 0
+        if arc_bits > room:
+            arc_bits = 0
+        unit = arc_bits + cost_bits
+        low = lambda arcs, half: (arcs << cost_bits if arc_bits else 0) + (half if cost_bits else 0)
+        self.w_ins = np.int64((q << unit) + low(1, 2))
+        self.w_del = np.int64(((q - p) << unit) + low(1, 2))
+        self.w_sub = np.int64(((q - p) << unit) + low(1, 3))
+        self.w_match = np.int64((-p << unit) + low(1, 0))
         self.w_free = np.int64(p << unit)  # a symbol that is no word gives its share back
-        self.w_mark = np.int64(1 << cost_bits) if mark_bits else np.int64(0)
+        self.w_mark = np.int64(low(2, 0))
         self.unit = unit
         self.band = band
 
@@ -227,13 +229,13 @@ def _linear(ref: list[str], hyp: list[str]) -> list[tuple[int, int, int]]:
     Long ones go by diagonals instead of rows (``_diagonals``).
 
     Without alternatives the number of reference words is fixed, so the least errors, then
-    the least cost, are the whole objective, and a row takes a handful of numpy calls.
+    the fewest steps, are the whole objective, and a row takes a handful of numpy calls.
     """
     n, m = len(ref), len(hyp)
-    bits = (3 * (n + m) + 3).bit_length()
-    kind = np.int32 if (n + m + 1).bit_length() + bits < 31 else np.int64
-    unit = 1 << bits
-    step, sub = kind(unit + 2), kind(unit + 3)
+    bits = (n + m + 1).bit_length()
+    kind = np.int32 if 2 * bits < 31 else np.int64
+    # With the errors fixed, fewest steps means fewest insertions and deletions.
+    step, sub = kind((1 << bits) + 1), kind(1 << bits)
     if min(n, m) >= LONG:
         return _diagonals(ref, hyp, step, sub)
     places: dict[str, list[int]] = {}
@@ -378,9 +380,9 @@ def _together(pairs: list[tuple[list[str], list[str]]]) -> list[list[tuple[int,
     """
     ns, ms = [len(r) for r, _ in pairs], [len(h) for _, h in pairs]
     n, m, count = max(ns), max(ms), len(pairs)
-    bits = (3 * (n + m) + 3).bit_length()
-    kind = np.int32 if (n + m + 1).bit_length() + bits < 31 else np.int64
-    step, sub = kind((1 << bits) + 2), kind((1 << bits) + 3)
+    bits = (n + m + 1).bit_length()
+    kind = np.int32 if 2 * bits < 31 else np.int64
+    step, sub = kind((1 << bits) + 1), kind(1 << bits)
     a, b = np.full((n, count), -1, np.int32), np.full((m, count), -2, np.int32)
     for p, (ref, hyp) in enumerate(pairs):
         ids: dict[str, int] = {}

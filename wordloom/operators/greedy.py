@@ -33,7 +33,8 @@ def align_greedy(graph: ReferenceGraph, hyp: list[str], empty_end: bool = False)
     for a in graph.arcs:
         after[a.src].append(a)
     for arcs in after:
-        arcs.sort(key=lambda a: a.word is not None)  # what opens a span comes first
+        arcs.reverse()  # of ways to say the same, the later comes first
+        arcs.sort(key=lambda a: a.word is not None)  # and what opens a span before all
 
     # A path is (cost, costly steps, trail); a trail is (step, trail before).
     best: dict[tuple[int, int], int] = {(0, 0): 0}
@@ -53,8 +54,6 @@ def align_greedy(graph: ReferenceGraph, hyp: list[str], empty_end: bool = False)
             if v == graph.end and j == m:
                 ends.append((trail,))
                 continue
-            if cost > best[v, j]:
-                continue
             matched = False
             for a in after[v]:
                 if a.mark:

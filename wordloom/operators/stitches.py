@@ -37,7 +37,7 @@ def with_timings(stitches: DataFrame, hyp: DataFrame) -> DataFrame:
     heard = F.col("op").isin("cor", "sub", "ins").cast("long")
     told = running(stitches, "utt_id", "seq", sums={"hyp_idx": heard}).withColumn("hyp_idx", F.when(heard == 1, F.col("hyp_idx") - 1))
     have = set(hyp.columns)
-    col = lambda c: F.col(c).cast("double") if c in have else F.lit(None).cast("double")
+    col = lambda c: F.col(c).cast("string").try_cast("double") if c in have else F.lit(None).cast("double")
     start = F.coalesce(col("start_ts"), col("end_ts"), F.lit(0.0))
     if "duration" in have:
         duration = F.coalesce(col("duration"), F.lit(0.0))
@@ -51,7 +51,7 @@ def with_timings(stitches: DataFrame, hyp: DataFrame) -> DataFrame:
 
 
 def with_rows(stitches: DataFrame, rows: DataFrame) -> DataFrame:
-    """Stitches with the reference row of each word in ``nlp`` (null for insertions) and ``suffix``.
+    """Stitches with the reference row of each word in ``nlp`` (null for insertions outside spans) and ``suffix``.
 
     ``rows``: ``utt_id, pos`` and ``ROW_COLUMNS``; ``stitches`` as ``align_pairs`` gives them.
     Inside a span of r rows and w words: one and one, attach; r = w, in order (``,direct``);
@@ -60,8 +60,9 @@ def with_rows(stitches: DataFrame, rows: DataFrame) -> DataFrame:
     """
     first = rows.select("utt_id", "pos", *[(F.col(c) if c in rows.columns else F.lit(None)).cast("string").alias(c) for c in ROW_COLUMNS])
     indexed = numbered(first).select("utt_id", "idx", F.struct(*ROW_COLUMNS).alias("nlp"))
-    said = F.col("op").isin("cor", "sub", "del", "noop")
     in_span = F.col("span").isNotNull()
+    # Insertions inside a span share in its rows.
+    said = F.col("op").isin("cor", "sub", "del", "noop") | ((F.col("op") == "ins") & in_span)
     # Words of a span, numbered; a span is as long as one rule or entity, and what is outside spans goes by blocks.
     span = Window.partitionBy("utt_id", "span", "_lane")
     laned = stitches.where(F.col("op") != "empty").withColumn("_lane", F.when(~in_span, F.floor(F.col("seq") / 4096)))
