@@ -137,6 +137,19 @@ def unigrams_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.ranked(metrics.unigram_stats(injected(spark, sf_dir), 3)).select("utt_id", "gram", "place")
 
 
+def unigram_stats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word, as counted without a threshold; ``unigram_stats`` shows the filter."""
+    return metrics.unigram_stats(injected(spark, sf_dir))
+
+
+def bigram_stats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.bigram_stats(injected(spark, sf_dir))
+
+
+def unigrams_ranked_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.ranked(unigram_stats_all(spark, sf_dir)).select("utt_id", "gram", "place")
+
+
 def error_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.error_groups(injected(spark, sf_dir))
 
@@ -213,7 +226,7 @@ def aligned_nlp_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Ten tables come from the same stitches; they are kept until clearCache.
-    return reports.json_log(injected(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK), case=True, threshold=2)
+    return reports.json_log(injected(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK), case=True)
 
 
 def _segments(spark: SparkSession, sf_dir: str, size: int = SEGMENT) -> DataFrame:
@@ -310,7 +323,8 @@ k AS (SELECT *, CASE WHEN op <> 'del' THEN sum((op <> 'del')::INT) OVER (PARTITI
 QUERIES = {
     "tokenize_text": tokenize_text, "string_functions": string_functions, "label_functions": label_functions, "inject_errors": inject, "wer_best": wer_best, "class_wer": class_wer,
     "speaker_wer": speaker_wer, "speaker_switch_wer": speaker_switch_wer, "sentence_wer": sentence_wer, "tag_wer": tag_wer, "case_stats": case_stats, "unigram_stats": unigram_stats,
-    "bigram_stats": bigram_stats, "unigrams_ranked": unigrams_ranked, "error_groups": error_groups, "sbs_lines": sbs_lines, "stitch_hyp_timing": stitch_hyp_timing,
+    "bigram_stats": bigram_stats, "unigrams_ranked": unigrams_ranked, "unigram_stats_all": unigram_stats_all, "bigram_stats_all": bigram_stats_all,
+    "unigrams_ranked_all": unigrams_ranked_all, "error_groups": error_groups, "sbs_lines": sbs_lines, "stitch_hyp_timing": stitch_hyp_timing,
     "entity_span_fusion": entity_span_fusion, "tag_resolution": tag_resolution, "synonym_rules_parse": synonym_rules, "vocabulary_union": vocabulary, "cutoff_synonyms": cutoff_synonyms,
     "compound_synonyms": compound_synonyms, "synonym_match_positions": synonym_match_positions, "aligned_nlp_rows": aligned_nlp_rows, "edit_distance": edit_distance, "json_log": json_log,
     "align_documents": align_documents, "align_entities": align_entities, "align_greedy": align_greedy, "align_entity_classes": align_entity_classes, "align_entity_rows": align_entity_rows,
@@ -349,6 +363,12 @@ SQL = {
       b AS (SELECT *, NOT regexp_matches(r, '<ins>|<del>|<eps>|___') AS rv, NOT regexp_matches(h, '<ins>|<del>|<eps>|___') AS hv FROM n WHERE r IS NOT NULL),
       roles AS (SELECT utt_id, r AS gram, 'correct' AS role FROM b WHERE r = h AND rv UNION ALL SELECT utt_id, r, 'subst_fn' FROM b WHERE r <> h AND rv AND hv UNION ALL SELECT utt_id, h, 'subst_fp' FROM b WHERE r <> h AND rv AND hv
       UNION ALL SELECT utt_id, r, 'del' FROM b WHERE r <> h AND rv AND contains(h, '<del>') UNION ALL SELECT utt_id, h, 'ins' FROM b WHERE r <> h AND hv AND contains(r, '<ins>')), {_GRAM_COUNTS.format(2)}, {_BOTH_SIDES} SELECT * FROM rate""",
+    "unigram_stats_all": f"WITH {_STITCHES}, {_UNIGRAMS} {_GRAM_COUNTS.format(0)}, {_BOTH_SIDES} SELECT * FROM rate",
+    "unigrams_ranked_all": f"WITH {_STITCHES}, {_UNIGRAMS} {_GRAM_COUNTS.format(0)}, {_BOTH_SIDES} SELECT utt_id, gram, row_number() OVER (PARTITION BY utt_id ORDER BY precision, recall, gram)::INT AS place FROM rate",
+    "bigram_stats_all": f"""WITH {_STITCHES}, n AS (SELECT utt_id, ref_tok || ' ' || lead(ref_tok) OVER p AS r, hyp_tok || ' ' || lead(hyp_tok) OVER p AS h FROM st WINDOW p AS (PARTITION BY utt_id ORDER BY seq)),
+      b AS (SELECT *, NOT regexp_matches(r, '<ins>|<del>|<eps>|___') AS rv, NOT regexp_matches(h, '<ins>|<del>|<eps>|___') AS hv FROM n WHERE r IS NOT NULL),
+      roles AS (SELECT utt_id, r AS gram, 'correct' AS role FROM b WHERE r = h AND rv UNION ALL SELECT utt_id, r, 'subst_fn' FROM b WHERE r <> h AND rv AND hv UNION ALL SELECT utt_id, h, 'subst_fp' FROM b WHERE r <> h AND rv AND hv
+      UNION ALL SELECT utt_id, r, 'del' FROM b WHERE r <> h AND rv AND contains(h, '<del>') UNION ALL SELECT utt_id, h, 'ins' FROM b WHERE r <> h AND hv AND contains(r, '<ins>') UNION ALL SELECT utt_id, r, 'seen' FROM b WHERE rv UNION ALL SELECT utt_id, h, 'seen' FROM b WHERE hv), {_GRAM_COUNTS.format(0)}, {_BOTH_SIDES} SELECT * FROM rate""",
     "error_groups": f"""WITH {_STITCHES}, l AS (SELECT *, row_number() OVER (PARTITION BY utt_id ORDER BY seq) + 1 AS line_no, ref_tok <> hyp_tok AS err FROM st), d AS (SELECT *, line_no - row_number() OVER (PARTITION BY utt_id ORDER BY seq) AS grp FROM l WHERE err)
       SELECT utt_id, min(line_no) AS line_no, coalesce(string_agg(ref_tok, ' ' ORDER BY line_no) FILTER (ref_tok NOT IN ('<ins>', '<del>', '<sub>', '')), '') AS ref, coalesce(string_agg(hyp_tok, ' ' ORDER BY line_no) FILTER (hyp_tok NOT IN ('<ins>', '<del>', '<sub>', '')), '') AS hyp FROM d GROUP BY utt_id, grp""",
     "sbs_lines": f"""WITH {_STITCHES} SELECT utt_id, row_number() OVER (PARTITION BY utt_id ORDER BY seq) + 1 AS line_no, CASE WHEN length(ref_tok) < 20 THEN lpad(ref_tok, 20, ' ') ELSE ref_tok END || chr(9) || CASE WHEN length(hyp_tok) < 20 THEN rpad(hyp_tok, 20, ' ') ELSE hyp_tok END || chr(9) ||
