@@ -43,3 +43,12 @@ def test_ngrams_seen_once_have_rows(spark, tmp_path):
     log = json.dumps([r.asDict() for r in catalog.json_log(spark, sf).collect()], default=str)
     spark.catalog.clearCache()
     assert all(f'\\"{g}\\"' in log for g in want)
+
+
+def test_every_best_label_is_an_entity(spark, tmp_path):
+    labels = ["1:ORG", "2:SPACY>ORG", "3:LAW, STATUTE", "4:PLACE; REGION", "5:ORG | UNIT", "6:HOUR O'CLOCK", "9: a", "7：TIME", " 8:date "]
+    sf = token_table(spark, tmp_path, [("rec_1", 2 * i + k, f"w{2 * i + k}", "[]", x if k else "") for i, x in enumerate(labels) for k in range(2)] + [("rec_1", 30, "z", "(10:B)", "")])
+    write_table(spark, tmp_path, "synonym_rules", "line_no long, raw_line string", [(1, "x | y")])
+    write_table(spark, tmp_path, "norm_docs", "norm_id long, recording string, body string", [(1, "rec_1", '{"6": {"candidates": [{"probability": 1, "verbalization": ["w11"]}], "class": "HOUR"}}')])
+    got = {r.class_name: r.n_ref for r in catalog.align_entity_classes(spark, sf).collect()}
+    assert got == dict.fromkeys(["ORG", "SPACY>ORG", "LAW, STATUTE", "PLACE; REGION", "ORG | UNIT", "HOUR O'CLOCK", "A", "TIME", "DATE", "B"], 1)

@@ -92,6 +92,34 @@ def best_label(labels: Column) -> Column:
     return F.coalesce(F.regexp_extract(labels, r"""^\s*\[\s*['"]([^'"]*)['"]""", 1), F.lit(""))
 
 
+_COLONS, _BREAKS = r"[:\uff1a\ufe55\u2236]", r"[,;|/\t]"
+_QUOTED = rf"""(?s)^\s*[\[(]?\s*(['"])(.*?)\1(?=\s*(?:{_BREAKS}|[\])]|$)|\s+['"])"""
+_IN_BRACKETS = rf"""(?s)^\s*[\[(]\s*([^\s\[\]()'"].*?)\s*(?:{_BREAKS}\s*(?=[0-9]+\s*{_COLONS}|['"]|[\])]\s*$)|[\])]\s*$|$)"""
+_BARE = rf"""(?s)^\s*([^\s\[\]()'"].*?)\s*(?:{_BREAKS}\s*(?=[0-9]+\s*{_COLONS}|['"]|$)|$)"""
+
+
+def first_label(labels: Column) -> Column:
+    """The first label in any layout: quoted, in brackets or bare, before a comma, semicolon, bar, slash or tab; empty without one.
+
+    A quote inside a label of other quotes belongs to it, and a delimiter that no label follows too.
+    """
+    found = [F.regexp_extract(labels, pattern, group) for pattern, group in ((_QUOTED, 2), (_IN_BRACKETS, 1), (_BARE, 1))]
+    best = F.coalesce(*[F.nullif(x, F.lit("")) for x in found], F.lit(""))
+    return F.regexp_replace(best, r"""\\(['"])|(['"])\2""", "$1$2")
+
+
+def cleaned_label(label: Column) -> Column:
+    """``number:CLASS`` of a label with blanks around its parts, another colon, zeros before its number, or its class in lower case."""
+    bare = F.regexp_replace(label, r"^[\s\u00a0\u3000]+|[\s\u00a0\u3000]+$|^[\s\u00a0\u3000]*0+(?=[0-9])", "")
+    return F.upper(F.regexp_replace(bare, rf"(?s)^([^:\uff1a\ufe55\u2236]*?)[\s\u00a0\u3000]*{_COLONS}[\s\u00a0\u3000]*(.*)$", "$1:$2"))
+
+
+def label_literal(label: Column) -> Column:
+    """A label as a list literal, in the quotes that it does not hold; ``[]`` for an empty one."""
+    quote = F.when(label.contains("'"), '"').otherwise("'")
+    return F.when(F.coalesce(label, F.lit("")) != "", F.concat(F.lit("["), quote, label, quote, F.lit("]"))).otherwise("[]")
+
+
 def label_number(label: Column) -> Column:
     """What stands before the colon; a label without one is an error."""
     return F.when(label.contains(":"), F.substring_index(label, ":", 1)).when(label != "", F.raise_error(F.concat(F.lit("malformed label: "), label)))

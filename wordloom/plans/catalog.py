@@ -264,11 +264,13 @@ def _normalisations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _entity_result(spark: SparkSession, sf_dir: str, size: int = SEGMENT, approach: str = "exact") -> plan.WerResult:
     rows = _segments(spark, sf_dir, size)
-    label = F.when(F.col("best_label").rlike(r"^[0-9]+:[A-Z_]+$"), F.concat(F.lit("['"), "best_label", F.lit("']"))).otherwise("[]")
+    # A row without its best label has the first of its labels.
+    best = fn.cleaned_label(F.coalesce("best_label", F.lit("")))
+    label = fn.label_literal(F.when(best != "", best).otherwise(fn.cleaned_label(fn.first_label(F.col("labels")))))
     ref = rows.select("utt_id", "recording", "pos", *[label.alias("labels") if c == "labels" else F.coalesce(c, F.lit("")).alias(c) for c in st.ROW_COLUMNS])
     hyp = inject_errors(rows.select("utt_id", "pos", "recording", F.lower("token").alias("token")), _number(F.col("recording")))
     heard = hyp.where(F.col("op") != "del").select("utt_id", F.col("seq").alias("pos"), F.col("hyp_tok").alias("token"))
-    by_segment = ref.where(F.col("labels") != "[]").select("utt_id", "recording", F.regexp_extract("labels", "([0-9]+)", 1).alias("label_id")).distinct()
+    by_segment = ref.where(F.col("labels") != "[]").select("utt_id", "recording", fn.label_number(fn.first_label(F.col("labels"))).alias("label_id")).distinct()
     norms = by_segment.join(_normalisations(spark, sf_dir), ["recording", "label_id"]).select("utt_id", "label_id", "candidates")
     return plan.wer(ref.drop("recording"), heard, _rules(spark, sf_dir), norms, plan.WerOptions(composition_approach=approach))
 

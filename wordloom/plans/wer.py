@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions import tokens as fn
-from wordloom.functions.tokens import best_label, class_marker, label_number
+from wordloom.functions.tokens import class_marker, first_label, label_number
 from wordloom.operators import graphs, metrics, stitches as st
 from wordloom.operators.align import align_pairs, spread
 from wordloom.sinks import reports
@@ -67,7 +67,7 @@ def _arrays(tokens: DataFrame, name: str) -> DataFrame:
 
 def _span_arrays(ref: DataFrame, normalisations: DataFrame | None) -> DataFrame:
     """Entity spans per utterance with their candidates."""
-    label = best_label(F.col("labels"))
+    label = first_label(F.col("labels"))
     rows = st.numbered(graphs.entity_spans(ref, "utt_id", label))
     spans = rows.where(F.col("_span").isNotNull()).groupBy("utt_id", "_span").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.first("_label").alias("_label"))
     spans = spans.withColumns({"marker": class_marker(F.col("_label")), "label_id": label_number(F.col("_label"))})
