@@ -45,6 +45,24 @@ def test_ngrams_seen_once_have_rows(spark, tmp_path):
     assert all(f'\\"{g}\\"' in log for g in want)
 
 
+LAYOUTS = [
+    ("['7:PERSON']", "7:PERSON"), ('["35:HOUR O\'CLOCK"]', "35:HOUR O'CLOCK"), ("['35:HOUR O''CLOCK', '1:A']", "35:HOUR O'CLOCK"), (r"['35:HOUR O\'CLOCK']", "35:HOUR O'CLOCK"), ("7:PERSON", "7:PERSON"), ("[7:ORG | 8:A]", "7:ORG"),
+    ("('7:A', '8:B',)", "7:A"), ("7:A / 8:B", "7:A"), ("7:A;8:B", "7:A"), ("7:A; 8:B;", "7:A"), ("7:A\t8:B", "7:A"), ('"7:LAW, STATUTE";"8:B"', "7:LAW, STATUTE"), ("7:LAW, STATUTE", "7:LAW, STATUTE"), ("[ '7:A' , '8:B' ]", "7:A"),
+    ("['7:A' '8:B']", "7:A"), ("['9: a']", "9:A"), ("['9：ORG | UNIT']", "9:ORG | UNIT"), (" 07 : date ", "7:DATE"), ("['0:A']", "0:A"), ("[]", ""), ("", ""), (None, ""), ("['nothing']", "NOTHING"),
+]
+
+
+def test_every_row_has_a_label_result(spark, tmp_path):
+    sf = token_table(spark, tmp_path, [("rec_1", i, "w", x, "") for i, (x, _) in enumerate(LAYOUTS)])
+    got = {r.row_id: r for r in catalog.QUERIES["label_functions_all"](spark, sf).collect()}
+    assert [got[i].best for i in range(len(LAYOUTS))] == [want for _, want in LAYOUTS]
+    for i, (_, want) in enumerate(LAYOUTS):
+        number, colon, name = want.partition(":")
+        assert (got[i].number, got[i].marker is None) == (number if colon else None, want == "")
+        if colon:
+            assert (got[i].marker_id, got[i]["name"], got[i].entity, got[i].synonym) == (number, name, True, False)
+
+
 def test_every_best_label_is_an_entity(spark, tmp_path):
     labels = ["1:ORG", "2:SPACY>ORG", "3:LAW, STATUTE", "4:PLACE; REGION", "5:ORG | UNIT", "6:HOUR O'CLOCK", "9: a", "7：TIME", " 8:date "]
     sf = token_table(spark, tmp_path, [("rec_1", 2 * i + k, f"w{2 * i + k}", "[]", x if k else "") for i, x in enumerate(labels) for k in range(2)] + [("rec_1", 30, "z", "(10:B)", "")])

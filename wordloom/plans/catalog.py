@@ -93,6 +93,15 @@ def label_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("row_id", "best", fn.label_number(F.col("best")).alias("number"), marker.alias("marker"), fn.label_id(marker).alias("marker_id"), fn.label_name(marker).alias("name"), fn.is_entity_label(marker).alias("entity"), fn.is_synonym_label(marker).alias("synonym"))
 
 
+def label_functions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row; ``best`` is empty and the rest null without a label, ``number`` is null without a colon."""
+    found = table(spark, sf_dir, "nlp_tokens").select("row_id", fn.cleaned_label(fn.first_label(F.col("labels"))).alias("best"))
+    told = found.withColumn("marker", F.when(F.col("best") != "", fn.class_marker(F.col("best"))))
+    best, marker = F.col("best"), F.col("marker")
+    number = F.when(best.contains(":"), F.substring_index(best, ":", 1))
+    return told.select("row_id", "best", number.alias("number"), "marker", fn.label_id(marker).alias("marker_id"), fn.label_name(marker).alias("name"), fn.is_entity_label(marker).alias("entity"), fn.is_synonym_label(marker).alias("synonym"))
+
+
 def inject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return injected(spark, sf_dir).select("utt_id", "seq", "ref_tok", "hyp_tok", "op")
 
@@ -323,7 +332,7 @@ _HEARD = """hyp AS (SELECT recording AS utt_id, row_number() OVER (PARTITION BY
 k AS (SELECT *, CASE WHEN op <> 'del' THEN sum((op <> 'del')::INT) OVER (PARTITION BY utt_id ORDER BY seq) - 1 END AS hyp_idx FROM st)"""
 
 QUERIES = {
-    "tokenize_text": tokenize_text, "string_functions": string_functions, "label_functions": label_functions, "inject_errors": inject, "wer_best": wer_best, "class_wer": class_wer,
+    "tokenize_text": tokenize_text, "string_functions": string_functions, "label_functions": label_functions, "label_functions_all": label_functions_all, "inject_errors": inject, "wer_best": wer_best, "class_wer": class_wer,
     "speaker_wer": speaker_wer, "speaker_switch_wer": speaker_switch_wer, "sentence_wer": sentence_wer, "tag_wer": tag_wer, "case_stats": case_stats, "unigram_stats": unigram_stats,
     "bigram_stats": bigram_stats, "unigrams_ranked": unigrams_ranked, "unigram_stats_all": unigram_stats_all, "bigram_stats_all": bigram_stats_all,
     "unigrams_ranked_all": unigrams_ranked_all, "error_groups": error_groups, "sbs_lines": sbs_lines, "stitch_hyp_timing": stitch_hyp_timing,
