@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import random
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from wordloom.functions import tokens as fn
+from wordloom.operators import prepass
 from wordloom.plans import catalog
 
 
@@ -70,3 +73,37 @@ def test_every_best_label_is_an_entity(spark, tmp_path):
     write_table(spark, tmp_path, "norm_docs", "norm_id long, recording string, body string", [(1, "rec_1", '{"6": {"candidates": [{"probability": 1, "verbalization": ["w11"]}], "class": "HOUR"}}')])
     got = {r.class_name: r.n_ref for r in catalog.align_entity_classes(spark, sf).collect()}
     assert got == dict.fromkeys(["ORG", "SPACY>ORG", "LAW, STATUTE", "PLACE; REGION", "ORG | UNIT", "HOUR O'CLOCK", "A", "TIME", "DATE", "B"], 1)
+
+
+def brute_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_edit_distance_of_whole_recordings(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 90))] for _ in range(2))
+        assert prepass.edit_distance(a, b) == brute_distance(a, b)
+    sf = token_table(spark, tmp_path, [(rec, i, rng.choice("abcde")) for rec, n in (("rec_1", 150), ("rec_2", 40), ("rec_3", 1)) for i in range(n)])
+    sides = defaultdict(lambda: ([], []))
+    for r in catalog.injected(spark, sf).orderBy("seq").collect():
+        if r.op != "ins":
+            sides[r.utt_id][0].append(r.ref_tok)
+        if r.op != "del":
+            sides[r.utt_id][1].append(r.hyp_tok)
+    want = {u: brute_distance(*x) for u, x in sides.items()}
+    assert {r.utt_id: r.distance for r in catalog.QUERIES["edit_distance_recordings"](spark, sf).collect()} == want
+    # Beyond the most distinct tokens the exact way gives the same.
+    monkeypatch.setattr(fn, "DISTINCT", 10)
+    assert {r.utt_id: r.distance for r in catalog.edit_distance_recordings(spark, sf).collect()} == want
+
+
+def test_distance_of_many_distinct_tokens(spark):
+    df = spark.range(2).select("id", F.transform(F.sequence(F.lit(1), F.when(F.col("id") == 0, 21_000).otherwise(5)), lambda i: i.cast("string")).alias("a"))
+    got = df.select("id", fn.token_distance(F.col("a"), F.concat(F.array(F.lit("x")), F.slice("a", 3, 30_000))).alias("d")).collect()
+    assert {r.id: r.d for r in got} == {0: 2, 1: 2}

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 # Words with a meaning of their own in alignments.
 EPS, INS, DEL, SUB, OOV = "<eps>", "<ins>", "<del>", "<sub>", "<oov>"
@@ -156,13 +158,26 @@ def recall(correct: Column, dels: Column, sub: Column) -> Column:
     return F.when(correct + dels + sub > 0, correct / (correct + sub + dels))
 
 
+#: Most distinct tokens of a pair that the built-in distance takes, a character each, and most tokens: coding them takes their square.
+DISTINCT, LONG = 20_000, 64
+
+
 def token_distance(a: Column, b: Column) -> Column:
     """Unit-cost edit distance of two arrays of tokens, by the built-in one.
 
-    Each distinct token of both becomes one character by its place, so up to 20,000
-    distinct tokens a pair; more give null.
+    Each distinct token of both becomes one character by its place; longer pairs, or of more
+    distinct tokens, go to ``prepass.edit_distance``.
     """
     vocabulary = F.array_distinct(F.concat(a, b))
     code = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, t) + 256), 4, "0")), "UTF-16BE")
     text = lambda x: F.array_join(F.transform(x, code), "")
-    return F.when(F.size(vocabulary) <= 20_000, F.levenshtein(text(a), text(b)))
+    few = (F.size(a) + F.size(b) <= LONG) & (F.size(vocabulary) <= DISTINCT)
+    far = lambda x: F.when(~few, x)  # noqa: E731  only these pairs leave the JVM
+    return F.when(few, F.levenshtein(text(a), text(b))).otherwise(_long_distance(far(a), far(b)))
+
+
+@F.pandas_udf(IntegerType())
+def _long_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    from wordloom.operators.prepass import edit_distance
+
+    return pd.Series([None if x is None or y is None else edit_distance(list(x), list(y)) for x, y in zip(a, b)], dtype="Int32")

@@ -8,21 +8,37 @@ from wordloom.operators.align import align_words
 
 
 def edit_distance(a: list, b: list) -> int:
-    """Unit-cost edit distance, with one row of memory."""
+    """Unit-cost edit distance, exact at any length: a row of the table is two bit vectors of its differences."""
+    if not a or not b:
+        return len(a) + len(b)
     places: dict = {}
     for j, y in enumerate(b):
         places.setdefault(y, []).append(j)
     where = {y: np.array(p) for y, p in places.items()}
-    slope = np.arange(len(b) + 1)
-    row = slope.copy()
+    often: dict = {}
+
+    def matches(y) -> int:
+        if y in often or y not in where:
+            return often.get(y, 0)
+        p, bits = where[y], np.zeros(len(b) + 7 >> 3, np.uint8)
+        np.bitwise_or.at(bits, p >> 3, np.left_shift(1, p & 7).astype(np.uint8))
+        made = int.from_bytes(bits.tobytes(), "little")
+        if len(p) > 1_000:  # vectors of frequent tokens are kept: few, so the memory stays small
+            often[y] = made
+        return made
+
+    all_ones, last = (1 << len(b)) - 1, 1 << len(b) - 1
+    up, down, distance = all_ones, 0, len(b)
     for x in a:
-        cand = row + 1
-        diagonal = row[:-1] + 1
-        if x in where:
-            diagonal[where[x]] -= 1
-        np.minimum(cand[1:], diagonal, out=cand[1:])
-        row = np.minimum.accumulate(cand - slope) + slope
-    return int(row[-1])
+        eq = matches(x)
+        flat = (((eq & up) + up) ^ up) | eq | down
+        right, left = down | (all_ones & ~(flat | up)), up & flat
+        distance += bool(right & last) - bool(left & last)
+        right = (right << 1 | 1) & all_ones
+        left = left << 1 & all_ones
+        vertical = eq | down
+        up, down = left | (all_ones & ~(vertical | right)), right & vertical
+    return distance
 
 
 def match_maps(a: list[str], b: list[str], relax: bool = True) -> tuple[int, list[int], list[int]]:

@@ -247,7 +247,16 @@ def _segments(spark: SparkSession, sf_dir: str, size: int = SEGMENT) -> DataFram
 def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _segments(spark, sf_dir).select("utt_id", "pos", "recording", F.lower("token").alias("token"))
     small = rows.withColumn("utt_id", F.concat_ws("#", "recording", F.floor(F.col("pos") / 16).cast("string")))
-    stitched = inject_errors(small, _number(F.col("recording")))
+    return _distances(inject_errors(small, _number(F.col("recording"))))
+
+
+def edit_distance_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole recordings; ``edit_distance`` has the pieces that SQL can check."""
+    rows = token_rows(spark, sf_dir).select("utt_id", "pos", F.lower(F.coalesce("token", F.lit(""))).alias("token")).where(F.col("token") != "")
+    return _distances(inject_errors(rows, _number(F.col("utt_id"))))
+
+
+def _distances(stitched: DataFrame) -> DataFrame:
     side = lambda c, miss: F.transform(F.sort_array(F.collect_list(F.when(F.col("op") != miss, F.struct("seq", c)))), lambda x: x[c])
     return stitched.groupBy("utt_id").agg(fn.token_distance(side("ref_tok", "ins"), side("hyp_tok", "del")).cast("long").alias("distance"))
 
@@ -337,7 +346,7 @@ QUERIES = {
     "bigram_stats": bigram_stats, "unigrams_ranked": unigrams_ranked, "unigram_stats_all": unigram_stats_all, "bigram_stats_all": bigram_stats_all,
     "unigrams_ranked_all": unigrams_ranked_all, "error_groups": error_groups, "sbs_lines": sbs_lines, "stitch_hyp_timing": stitch_hyp_timing,
     "entity_span_fusion": entity_span_fusion, "tag_resolution": tag_resolution, "synonym_rules_parse": synonym_rules, "vocabulary_union": vocabulary, "cutoff_synonyms": cutoff_synonyms,
-    "compound_synonyms": compound_synonyms, "synonym_match_positions": synonym_match_positions, "aligned_nlp_rows": aligned_nlp_rows, "edit_distance": edit_distance, "json_log": json_log,
+    "compound_synonyms": compound_synonyms, "synonym_match_positions": synonym_match_positions, "aligned_nlp_rows": aligned_nlp_rows, "edit_distance": edit_distance, "edit_distance_recordings": edit_distance_recordings, "json_log": json_log,
     "align_documents": align_documents, "align_entities": align_entities, "align_greedy": align_greedy, "align_entity_classes": align_entity_classes, "align_entity_rows": align_entity_rows,
     "oracle_lattice_wer": oracle_lattice_wer, "synthetic_wer": synthetic_wer,
 }
