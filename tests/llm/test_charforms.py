@@ -48,3 +48,11 @@ def test_changed(spark):
     got = sorted((r.row_id, r.plain) for r in c.changed(spark.createDataFrame(rows, schema), "row_id", "token", "t").collect())
     assert got == [(3, "the"), (3, "the"), (5, ""), (7, "x")]
     assert c.changed(spark.createDataFrame([], schema), "row_id", "token", "t").count() == 0
+
+
+def test_final_line_terminators_are_not_ordinary(spark):
+    texts = ["ab\n", "ab\r\n", "ab\u0085", "ab\u2028", "ab", " ab "]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, token string")
+    got = {r.row_id: r.plain for r in c.changed(df, "row_id", "token", "t").collect()}
+    assert got == dict.fromkeys(range(4), "ab")
+    assert [r.p for r in df.orderBy("row_id").select(c.plain(df.token).alias("p")).collect()] == ["ab"] * 6

@@ -216,7 +216,7 @@ def _plain(texts: pd.Series) -> pd.Series:
 
 
 #: A text of these characters only is its own plain form but for blanks at its ends.
-_ORDINARY = r"^[\x20-\x7e]*$"
+_ORDINARY = r"^[\x20-\x7e]*\z"
 
 
 def plain(text: Column) -> Column:
