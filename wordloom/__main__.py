@@ -38,8 +38,9 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--numbests", type=int, default=100)
         c.add_argument("--levenstein-max-error-streak", type=int, default=100)
         c.add_argument("--pr_threshold", type=int, default=0)
+        c.add_argument("--beam", type=int, default=20, help="states that the adapted search keeps when it is pruned; 0: nothing is given up")
         c.add_argument("--symbols")
-        c.add_argument("--composition-approach", default="exact", choices=("exact", "standard", "adapted"))
+        c.add_argument("--composition-approach", default="adapted", choices=("exact", "standard", "adapted"))
     w = sub.choices["wer"]
     w.add_argument("--wer-sidecar")
     w.add_argument("--speaker-switch-context", type=int, default=5)
@@ -69,8 +70,8 @@ def main(argv: list[str] | None = None) -> int:
     get = lambda name, default=False: getattr(args, name, default)
     options = WerOptions(
         disable_cutoffs=args.disable_cutoffs, disable_hyphen_ignore=args.disable_hyphen_ignore, disable_approx_alignment=args.disable_approx_alignment, numbests=args.numbests,
-        levenstein_max_error_streak=args.levenstein_max_error_streak, pr_threshold=args.pr_threshold, composition_approach=args.composition_approach, speaker_switch_context=max(1, get("speaker_switch_context", 5)),
-        record_case_stats=get("record_case_stats"), use_punctuation=get("use_punctuation"), use_case=get("use_case"), add_inserts_nlp=get("add_inserts_nlp"),
+        levenstein_max_error_streak=args.levenstein_max_error_streak, pr_threshold=args.pr_threshold, composition_approach=args.composition_approach, speaker_switch_context=get("speaker_switch_context", 5),
+        record_case_stats=get("record_case_stats"), use_punctuation=get("use_punctuation"), use_case=get("use_case"), add_inserts_nlp=get("add_inserts_nlp"), beam=args.beam or None,
     )
     ref = readers.read_transcript(spark, args.ref, "pair")
     hyp = readers.read_transcript(spark, args.hyp, "pair", args.symbols)

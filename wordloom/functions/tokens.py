@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +18,11 @@ UNCOUNTED = (EPS, DEL, INS, SUB, OOV)
 SYMBOLS = {EPS: 0, OOV: 1, INS: 2, DEL: 3, SUB: 4, INAUDIBLE: 5, SILENCE: 6, UNK: 7}
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def lowercase(text: Column) -> Column:
     return F.lower(text)
 
@@ -106,7 +112,7 @@ def first_label(labels: Column) -> Column:
     A quote inside a label of other quotes belongs to it, and a delimiter that no label follows too.
     """
     found = [F.regexp_extract(labels, pattern, group) for pattern, group in ((_QUOTED, 2), (_IN_BRACKETS, 1), (_BARE, 1))]
-    best = F.coalesce(*[F.nullif(x, F.lit("")) for x in found], F.lit(""))
+    best = F.coalesce(F.get(F.filter(F.array(*found), lambda x: x != ""), F.lit(0)), F.lit(""))
     return F.regexp_replace(best, r"""\\(['"])|(['"])\2""", "$1$2")
 
 
@@ -118,13 +124,17 @@ def cleaned_label(label: Column) -> Column:
 
 def label_literal(label: Column) -> Column:
     """A label as a list literal, in the quotes that it does not hold; ``[]`` for an empty one."""
-    quote = F.when(label.contains("'"), '"').otherwise("'")
-    return F.when(F.coalesce(label, F.lit("")) != "", F.concat(F.lit("["), quote, label, quote, F.lit("]"))).otherwise("[]")
+
+    def literal(x: Column) -> Column:
+        quote = F.when(x.contains("'"), '"').otherwise("'")
+        return F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit("["), quote, x, quote, F.lit("]"))).otherwise("[]")
+
+    return bound(label, literal)
 
 
 def label_number(label: Column) -> Column:
     """What stands before the colon; a label without one is an error."""
-    return F.when(label.contains(":"), F.substring_index(label, ":", 1)).when(label != "", F.raise_error(F.concat(F.lit("malformed label: "), label)))
+    return bound(label, lambda x: F.when(x.contains(":"), F.substring_index(x, ":", 1)).when(x != "", F.raise_error(F.concat(F.lit("malformed label: "), x))))
 
 
 def tag_ids(tags: Column) -> Column:

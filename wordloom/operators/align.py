@@ -10,9 +10,10 @@ steps (a synonym is entered and left by a step each), then the least cost (inser
 1, substitution 1.5), then match before substitution, deletion and insertion.  Where alternatives make the number of reference words
 vary, the ratio is found by Dinkelbach's rounds of the same program with exact integers.
 
-Two measures keep long pairs cheap and small, both exact: rows are limited to a band that is
-doubled until no path outside can be better, and back-pointers are kept for one stretch of
-nodes at a time, computed again from saved rows.
+Three measures keep long pairs cheap and small, all exact.  Rows are limited to a band: the
+errors of a known path (by bit vectors, or of the round before) bound those of the best one,
+and so how far it can stray.  Plain sequences of like size go through the band together.
+Back-pointers are kept for one stretch of rows at a time, computed again from saved rows.
 """
 
 from __future__ import annotations
@@ -26,18 +27,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from wordloom.functions.tokens import DEL, FALLBACK, GLOBAL, INS, NOOP, UNCOUNTED
+from wordloom.functions.tokens import DEL, EPS, FALLBACK, GLOBAL, INS, NOOP, UNCOUNTED
+from wordloom.operators.distance import edit_distance
 from wordloom.operators.graphs import Arc, ReferenceGraph
 
 _DIAG, _DEL, _EMPTY, _INS = 0, 1, 2, 3
-_BIG = np.int64(1) << 61
-#: Sequences of at least so many words go by diagonals.
-LONG = 4_000
+_BIG = np.int64(1) << np.int64(62)
+#: Bits of a weight that one integer holds; what needs more goes by two.
+ROOM = 61
 #: Back-pointers of so many cells are kept at a time.
 CELLS = 16_000_000
-#: Pairs of so many words in all are aligned together.
+#: Pairs of so many words in all are aligned together, and at most so many plain ones in a band.
 WORDS = 100_000
-FIRST_BAND = 1024
+TOGETHER = 64
 
 STITCH_FIELDS = "seq long, class_label string, span long, ref_tok string, hyp_tok string, op string, ref_row long, span_row long, span_rows long"
 
@@ -53,97 +55,131 @@ class Step:
     row: int = -1
 
 
+def _depths(graph: ReferenceGraph) -> tuple[list[int], list[int]]:
+    """Least and greatest number of words on a path to each node."""
+    low, high = [0] * graph.size, [0] * graph.size
+    for v in graph.order[1:]:
+        arcs = graph.into[v]
+        low[v] = min(low[a.src] + (a.word is not None) for a in arcs)
+        high[v] = max(high[a.src] + (a.word is not None) for a in arcs)
+    return low, high
+
+
 class _Rows:
-    """The program over one graph and one hypothesis, with weights for one round."""
+    """The program over one graph and one hypothesis, with weights for one round.
 
-    def __init__(self, graph: ReferenceGraph, hyp: list[str], rate: Fraction | None, band: int | None) -> None:
-        self.g, self.hyp = graph, hyp
-        self.m = len(hyp)
+    ``most``: a number of errors that the best path is known not to exceed.
+    """
+
+    def __init__(self, graph: ReferenceGraph, hyp: list[str], rate: Fraction | None, most: int) -> None:
+        self.g, self.m = graph, len(hyp)
         self.rank = {v: i for i, v in enumerate(graph.order)}
-        ids: dict[str, int] = {}
-        self.code = np.array([ids.setdefault(w, len(ids)) for w in hyp], np.int64)
-        self.ids = ids
-        self._depths()
-        longest = self.high[graph.end] + self.m + 2
-        # Weights in one integer: errors less rate times words, then steps, then cost in halves.
-        p, q = (rate.numerator, rate.denominator) if rate is not None else (0, 1)
-        room = 60 - (longest * max(p, q)).bit_length()
-        arc_bits = cost_bits = (3 * longest).bit_length()
-        if arc_bits + cost_bits > room:  # very long pairs give up the finer ties
-            cost_bits = 0
-        if arc_bits > room:
-            arc_bits = 0
-        unit = arc_bits + cost_bits
-        low = lambda arcs, half: (arcs << cost_bits if arc_bits else 0) + (half if cost_bits else 0)
-        self.w_ins = np.int64((q << unit) + low(1, 2))
-        self.w_del = np.int64(((q - p) << unit) + low(1, 2))
-        self.w_sub = np.int64(((q - p) << unit) + low(1, 3))
-        self.w_match = np.int64((-p << unit) + low(1, 0))
-        self.w_free = np.int64(p << unit)  # a symbol that is no word gives its share back
-        self.w_mark = np.int64(low(2, 0))
-        self.unit = unit
-        self.band = band
-
-    def _depths(self) -> None:
-        """Least and greatest number of words on a path to each node."""
-        low, high = [0] * self.g.size, [0] * self.g.size
-        for v in self.g.order[1:]:
-            arcs = self.g.into[v]
-            low[v] = min(low[a.src] + (a.word is not None) for a in arcs)
-            high[v] = max(high[a.src] + (a.word is not None) for a in arcs)
-        self.low, self.high = low, high
+        places: dict[str, list[int]] = {}
+        for j, w in enumerate(hyp):
+            places.setdefault(w, []).append(j)
+        self.places = {w: np.array(p) for w, p in places.items()}
+        self.low, self.high = low, high = _depths(graph)
+        # A path of at most ``most`` errors has so many deletions and insertions at most.
+        self.dels = (most + high[graph.end] - self.m) // 2
+        self.inss = (most + self.m - low[graph.end]) // 2
+        self.width = max(hi - lo for lo, hi in map(self.window, graph.order))
+        # Weights: errors less rate times words, then steps, then cost in halves.  Words and steps are
+        # counted beyond the least on the way to a node, so that numbers stay small; what has more
+        # than ``most`` errors may be counted too high, but never too low.
+        self.p, self.q = (rate.numerator, rate.denominator) if rate is not None else (0, 1)
+        spread = max(h - n for h, n in zip(high, low, strict=True))
+        self.half_bits = (3 * most + 3).bit_length()
+        fine_bits = self.half_bits + (most + spread + 2 * sum(a.mark for a in graph.arcs) + 2).bit_length()
+        main_bits = (self.q * (self.width + most + 1) + self.p * (spread + 1)).bit_length()
+        self.wide, self.fine_bits = main_bits + fine_bits > ROOM, fine_bits
+        far_bits = 2 + max(fine_bits, self.half_bits + self.width.bit_length() + 1)
+        if self.wide and far_bits + self.width.bit_length() > 61:
+            raise ValueError("the sequences are too long to be compared")
+        self.far = np.int64(1) << np.int64(far_bits)
+
+    def weight(self, main: int, steps: int, half: int) -> np.ndarray | np.int64:
+        fine = (steps << self.half_bits) + half
+        return np.array([[main], [fine]], np.int64) if self.wide else np.int64((main << self.fine_bits) + fine)
 
     def window(self, v: int) -> tuple[int, int]:
-        if self.band is None:
-            return 0, self.m + 1
-        return max(0, min(self.m, self.low[v] - self.band)), min(self.m, self.high[v] + self.band) + 1
+        lo = max(0, self.low[v] - self.dels)
+        return lo, max(lo, min(self.m, self.high[v] + self.inss) + 1)
+
+    def _along(self, best: np.ndarray) -> np.ndarray:
+        """``best`` with insertions along the row."""
+        slope = np.arange(best.shape[-1], dtype=np.int64) * self.weight(self.q, 1, 2)
+        if not self.wide:
+            run = best - slope
+            np.minimum.accumulate(run, out=run)
+            run += slope
+            return run
+        main, fine = best - slope
+        least = np.minimum.accumulate(main)
+        # Within a stretch of equal least main weights the fine ones are compared; an offset for each stretch keeps them apart.
+        stretch = np.cumsum(least[1:] < least[:-1]) if len(least) else least
+        offset = np.concatenate([[0], stretch])[: len(least)] * (self.far << np.int64(1))
+        told = np.minimum.accumulate(np.where(main == least, np.minimum(fine, self.far), self.far) - offset) + offset
+        return np.stack([least, told]) + slope
+
+    def _less(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a[0] < b[0]) | ((a[0] == b[0]) & (a[1] < b[1])) if self.wide else a < b
 
     def _row(self, rows: dict[int, tuple[int, np.ndarray]], v: int, trace: bool) -> tuple[np.ndarray, tuple | None]:
         lo, hi = self.window(v)
-        best = np.full(hi - lo, _BIG)
+        arcs = self.g.into[v]
+        best = np.full((2, hi - lo) if self.wide else hi - lo, _BIG)
         how = np.zeros(hi - lo, np.uint8) if trace else None
-        which = np.zeros(hi - lo, np.uint16) if trace and len(self.g.into[v]) > 1 else None
+        which = np.zeros(hi - lo, np.uint16 if len(arcs) <= 1 << 16 else np.uint32) if trace and len(arcs) > 1 else None
 
-        def offer(values: np.ndarray, at: int, op: int, k: int) -> None:
+        def offer(values: np.ndarray, at: int, op: int, k: int, first: bool = False) -> None:
             """Values for the columns from ``at`` on; the earlier of equal offers stays."""
-            a, z = max(at, lo), min(at + len(values), hi)
+            a, z = max(at, lo), min(at + values.shape[-1], hi)
             if a >= z:
                 return
-            cut, old = values[a - at : z - at], best[a - lo : z - lo]
-            won = cut < old
-            old[won] = cut[won]
+            cut, old = values[..., a - at : z - at], best[..., a - lo : z - lo]
+            if first:
+                old[...] = cut
+                return
+            won = self._less(cut, old)
+            np.copyto(old, cut, where=won)
             if trace:
-                how[a - lo : z - lo][won] = op
+                np.putmask(how[a - lo : z - lo], won, op)
                 if which is not None:
-                    which[a - lo : z - lo][won] = k
+                    np.putmask(which[a - lo : z - lo], won, k)
 
-        if v == self.g.order[0]:
-            best[0 if lo == 0 else slice(0, 0)] = 0
-        for k, a in enumerate(self.g.into[v]):
+        if v == self.g.order[0] and lo == 0 and hi > 0:
+            best[..., 0] = 0
+        for k, a in enumerate(arcs):
             from_lo, row = rows[a.src]
+            ahead = self.low[v] - self.low[a.src]  # words that the least path has on the way
+            own = self.p * (ahead + (a.word in UNCOUNTED))  # a symbol that is no word gives its share back
             if a.word is None:
-                offer(row + (self.w_mark if a.mark else 0), from_lo, _EMPTY, k)
+                offer(row + self.weight(own, 2 * a.mark - ahead, 0), from_lo, _EMPTY, k)
                 continue
-            free = self.w_free if a.word in UNCOUNTED else 0
-            n = min(len(row), self.m - from_lo)
+            n = min(row.shape[-1], self.m - from_lo)
             if n > 0:
-                same = self.code[from_lo : from_lo + n] == self.ids.get(a.word, -1)
-                offer(row[:n] + np.where(same, self.w_match, self.w_sub) + free, from_lo + 1, _DIAG, k)
-            offer(row + self.w_del + free, from_lo, _DEL, k)
-        # Insertions along the row.
-        slope = np.arange(hi - lo, dtype=np.int64) * self.w_ins
-        run = np.minimum.accumulate(np.minimum(best, _BIG) - slope) + slope
+                stepped = row[..., :n] + self.weight(self.q - self.p + own, 1 - ahead, 3)
+                same = self.places.get(a.word)
+                if same is not None:
+                    same = same[np.searchsorted(same, from_lo) : np.searchsorted(same, from_lo + n)] - from_lo
+                    stepped[..., same] = row[..., same] + self.weight(own - self.p, 1 - ahead, 0)
+                offer(stepped, from_lo + 1, _DIAG, k, k == 0)
+            offer(row + self.weight(self.q - self.p + own, 1 - ahead, 2), from_lo, _DEL, k)
+        np.minimum(best, _BIG, out=best)
+        run = self._along(best)
+        won = self._less(run, best)
         if trace:
-            how[run < best] = _INS
-        return np.minimum(run, best), (lo, how, which) if trace else None
+            np.putmask(how, won, _INS)
+        np.copyto(best, run, where=won)
+        return best, (lo, how, which) if trace else None
 
-    def solve(self) -> tuple[int, list[tuple[int, Arc | None, int]]]:
-        """The least weight, and the steps of its path as (operation, arc, hypothesis place), in order."""
+    def solve(self) -> list[tuple[int, Arc | None, int]]:
+        """The steps of the path of least weight as (operation, arc, hypothesis place), in order."""
         order, g = self.g.order, self.g
         uses = [0] * g.size
         for a in g.arcs:
             uses[a.src] += 1
-        width = max(1, self.m + 1 if self.band is None else min(self.m + 1, 2 * self.band + 1))
+        width = max(1, self.width)
         stretch = len(order) if len(order) * width <= CELLS else max(1, CELLS // width)
         rows: dict[int, tuple[int, np.ndarray]] = {}
         left = uses[:]
@@ -160,10 +196,6 @@ class _Rows:
                 left[a.src] -= 1
                 if left[a.src] == 0:
                     rows.pop(a.src, None)
-        lo, final = rows[g.end]
-        value = int(final[self.m - lo]) if lo <= self.m < lo + len(final) else int(_BIG)
-        if value >= int(_BIG) >> 1:
-            return value, []
         steps: list[tuple[int, Arc | None, int]] = []
         v, j, at = g.end, self.m, -1
         while not (v == order[0] and j == 0):
@@ -186,7 +218,7 @@ class _Rows:
             steps.append((op, arc, j - 1))
             v, j = arc.src, j - (op == _DIAG)
         steps.reverse()
-        return value, steps
+        return steps
 
 
 def _tally(steps: list[tuple[int, Arc | None, int]], hyp: list[str]) -> tuple[int, int]:
@@ -201,293 +233,207 @@ def _tally(steps: list[tuple[int, Arc | None, int]], hyp: list[str]) -> tuple[in
     return errors, words
 
 
-def _best(graph: ReferenceGraph, hyp: list[str], rate: Fraction | None) -> tuple[int, list]:
-    """The program with a band that is doubled until nothing outside can be better."""
-    most = 0
-    band = FIRST_BAND
-    while True:
-        whole = band >= len(hyp)
-        rows = _Rows(graph, hyp, rate, None if whole else band)
-        most = rows.high[graph.end]
-        if not whole and band >= most + len(hyp):
-            rows.band = None
-            whole = True
-        value, steps = rows.solve()
-        if whole:
-            return value, steps
-        if steps:
-            errors, words = _tally(steps, hyp)
-            # A path outside the band has more than ``band`` errors and at most ``most`` words.
-            if (errors <= band if rate is None else words and Fraction(errors, words) * max(most, 1) <= band):
-                return value, steps
-        band *= 2
-
-
-def _linear(ref: list[str], hyp: list[str]) -> list[tuple[int, int, int]]:
-    """Steps (operation, reference place, hypothesis place) of two sequences, by the same rules as ``_Rows``.
-
-    Long ones go by diagonals instead of rows (``_diagonals``).
-
-    Without alternatives the number of reference words is fixed, so the least errors, then
-    the fewest steps, are the whole objective, and a row takes a handful of numpy calls.
+# --- plain sequences ---------------------------------------------------------------------
+
+
+def _codes(ref: list[str], hyp: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    ids: dict[str, int] = {}
+    number = lambda words: np.array([ids.setdefault(w, len(ids)) for w in words], np.int32)
+    return number(ref), number(hyp)
+
+
+def _in_band(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> list[np.ndarray]:
+    """Operations, in order, of pairs of coded sequences of known distance, all in one band.
+
+    Without alternatives the number of reference words is fixed, so the least errors, then the
+    fewest steps (insertions and deletions), are the whole objective.  A row has a column for
+    each distance from the diagonal that a path of that many errors can have; shorter pairs
+    are padded by words that match nothing, which no path to their own end touches.
     """
-    n, m = len(ref), len(hyp)
+    ns, ms = np.array([len(a) for a, _, _ in pairs]), np.array([len(b) for _, b, _ in pairs])
+    far = np.array([d for _, _, d in pairs])
+    dels, inss = int(((far + ns - ms) // 2).max()), int(((far + ms - ns) // 2).max())
+    n, m, count, width = int(ns.max()), int(ms.max()), len(pairs), dels + inss + 1
     bits = (n + m + 1).bit_length()
-    kind = np.int32 if 2 * bits < 31 else np.int64
-    # With the errors fixed, fewest steps means fewest insertions and deletions.
-    step, sub = kind((1 << bits) + 1), kind(1 << bits)
-    if min(n, m) >= LONG:
-        return _diagonals(ref, hyp, step, sub)
-    places: dict[str, list[int]] = {}
-    for j, w in enumerate(hyp):
-        places.setdefault(w, []).append(j)
-    where = {w: np.array(p) for w, p in places.items()}
-    slope = np.arange(m + 1, dtype=kind) * step
-    cand = np.empty(m + 1, kind)
-    most = np.iinfo(kind).max
+    kind = np.int32 if 2 * bits < 29 else np.int64
+    step, sub, most = kind((1 << bits) + 1), kind(1 << bits), kind(1) << kind(29 if kind is np.int32 else 61)
+    ref = np.full((n, count), -1, np.int32)
+    hyp = np.full((dels + n + width, count), -2, np.int32)  # hyp[dels + j] is the word of place j
+    for p, (a, b, _) in enumerate(pairs):
+        ref[: len(a), p] = a
+        cut = b[: n + width]
+        hyp[dels : dels + len(cut), p] = cut
+    slope, shape = np.arange(width, dtype=kind) * step, (width,) if count == 1 else (width, count)
+    if count == 1:
+        ref, hyp = ref[:, 0], hyp[:, 0]
+    else:
+        slope = slope[:, None]
+    diag, down, run, neq = np.empty(shape, kind), np.empty(shape, kind)[1:], np.empty(shape, kind), np.empty(shape, bool)
 
     def advance(row: np.ndarray, first: int, end: int, back: np.ndarray | None) -> np.ndarray:
+        """Rows ``first`` + 1 to ``end``; column b of row i is hypothesis place i - dels + b."""
+        row = row.copy()
         for i in range(first, end):
-            np.add(row[:-1], sub, out=cand[1:])
-            same = where.get(ref[i])
-            if same is not None:
-                cand[same + 1] = row[same]
-            cand[0] = most
-            down = row + step
+            np.not_equal(hyp[i : i + width], ref[i], out=neq)
+            np.multiply(neq, sub, out=diag)
+            np.add(diag, row, out=diag)
+            np.add(row[1:], step, out=down)
             if back is not None:
-                how = (down < cand).view(np.uint8)
-            np.minimum(cand, down, out=cand)
-            run = np.minimum.accumulate(cand - slope)
-            run += slope
+                how = back[i - first]
+                np.less(down, diag[:-1], out=how[:-1].view(bool))
+                how[-1] = 0
+            np.minimum(diag[:-1], down, out=diag[:-1])
+            np.subtract(diag, slope, out=run)
+            np.minimum.accumulate(run, axis=0, out=run)
+            np.add(run, slope, out=row)
             if back is not None:
-                how[run < cand] = _INS
-                back[i - first] = how
-            row = run
+                np.less(row, diag, out=neq)
+                np.putmask(how, neq, _INS)
         return row
 
-    # Back-pointers are kept for one stretch of rows, from a row saved at its start.
-    stretch = max(1, CELLS // (m + 1))
-    back = np.empty((min(n, stretch), m + 1), np.uint8)
-    saved = [slope.copy()]
+    start = np.full(shape, most)
+    start[dels:] = slope[: inss + 1]
+    stretch = max(1, CELLS // (width * count))
+    back = np.empty((min(n, stretch), *shape), np.uint8)
+    saved = [start]
     for first in range(0, n - stretch, stretch):
         saved.append(advance(saved[-1], first, first + stretch, None))
-    steps = []
-    i, j, held = n, m, -1
-    while i or j:
-        if i and (i - 1) // stretch != held:
-            held = (i - 1) // stretch
-            advance(saved[held], held * stretch, min(n, (held + 1) * stretch), back)
-        op = int(back[(i - 1) % stretch, j]) if i else _INS
-        if op == _INS:
-            j -= 1
-            steps.append((_INS, i, j))
-        elif op == _DEL:
-            i -= 1
-            steps.append((_DEL, i, j - 1))
-        else:
-            i, j = i - 1, j - 1
-            steps.append((_DIAG, i, j))
-    steps.reverse()
-    return steps
-
-
-def _diagonals(ref: list[str], hyp: list[str], step: np.integer, sub: np.integer) -> list[tuple[int, int, int]]:
-    """As ``_linear``, by diagonals of equal i + j: no cell of one depends on another, so nothing runs along it."""
-    n, m = len(ref), len(hyp)
-    kind = type(step)
-    ids: dict[str, int] = {}
-    a = np.array([ids.setdefault(w, len(ids)) for w in ref], np.int32)
-    b = np.array([ids.setdefault(w, len(ids)) for w in hyp], np.int32)[::-1].copy()
-    width = min(n, m) + 1
-    cost, moved = np.empty(width, kind), np.empty(width + 1, kind)
-    other, less = np.empty(width, bool), np.empty(width, bool)
-
-    def advance(before: np.ndarray, last: np.ndarray, first: int, end: int, back: list | None) -> tuple[np.ndarray, np.ndarray]:
-        """Diagonals ``first`` to ``end`` - 1, from the two ahead of them; arrays go by the reference place."""
-        for k in range(first, end):
-            now = np.empty(n + 1, kind)
-            if k <= m:
-                now[0] = k * step
-            if k <= n:
-                now[k] = k * step
-            i, z = max(1, k - m), min(n, k - 1)  # cells with words on both sides
-            size = z - i + 1
-            if size <= 0:
-                if back is not None:
-                    back.append((i, None))
-                before, last = last, now
+    # Each pair is traced back through the stretches, the last first.
+    at = list(zip(ns.tolist(), ms.tolist(), strict=True))
+    trails: list[bytearray] = [bytearray() for _ in pairs]
+    for k in range(len(saved) - 1, -1, -1):
+        first = k * stretch
+        advance(saved[k], first, min(n, first + stretch), back)
+        for p, trail in enumerate(trails):
+            i, j = at[p]
+            if i <= first:
                 continue
-            best, neq, won = cost[:size], other[:size], less[:size]
-            np.not_equal(a[i - 1 : z], b[m - k + i : m - k + z + 1], out=neq)
-            np.multiply(neq, sub, out=best)
-            best += before[i - 1 : z]
-            p = moved[: size + 1]
-            np.add(last[i - 1 : z + 1], step, out=p)
-            if back is not None:
-                how = (p[:-1] < best).view(np.uint8)
-            np.minimum(best, p[:-1], out=best)
-            if back is not None:
-                np.less(p[1:], best, out=won)
-                np.putmask(how, won, _INS)
-                back.append((i, how))
-            np.minimum(best, p[1:], out=now[i : z + 1])
-            before, last = last, now
-        return before, last
-
-    origin = np.zeros(n + 1, kind)
-    stretch = max(2, CELLS // width)
-    saved = [(origin, origin)]
-    total = n + m + 1
-    for first in range(1, total - stretch, stretch):
-        saved.append(advance(*saved[-1], first, first + stretch, None))
-    back: list = []
-    steps = []
-    i, j, held = n, m, -1
-    while i or j:
-        if j == 0:
-            i -= 1
-            steps.append((_DEL, i, -1))
-            continue
-        if i == 0:
-            j -= 1
-            steps.append((_INS, 0, j))
+            told = (back[: i - first] if count == 1 else back[: i - first, :, p]).tobytes()
+            place = (i - 1 - first) * width + j - i + dels
+            while i > first and j:
+                op = told[place]
+                trail.append(op)
+                if op == _INS:
+                    j -= 1
+                    place -= 1
+                elif op == _DEL:
+                    i -= 1
+                    place -= width - 1
+                else:
+                    i -= 1
+                    j -= 1
+                    place -= width
+            if j == 0:
+                trail.extend(bytes([_DEL]) * i)
+                i = 0
+            at[p] = i, j
+    return [np.frombuffer(bytes(t[::-1]), np.uint8) if j == 0 else np.frombuffer(bytes([_INS]) * j + bytes(t[::-1]), np.uint8) for t, (_, j) in zip(trails, at, strict=True)]
+
+
+def plain_operations(pairs: list[tuple[list[str], list[str]]]) -> list[np.ndarray]:
+    """The operations (``_DIAG``, ``_DEL``, ``_INS``) of the best alignment of each pair of word sequences."""
+    out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(pairs)
+    todo = []
+    for k, (ref, hyp) in enumerate(pairs):
+        if not ref or not hyp:
+            out[k] = np.full(len(ref) + len(hyp), _DEL if ref else _INS, np.uint8)
             continue
-        k = i + j
-        if (k - 1) // stretch != held:
-            held = (k - 1) // stretch
-            back = []
-            advance(*saved[held], held * stretch + 1, min(total, (held + 1) * stretch + 1), back)
-        start, how = back[(k - 1) % stretch]
-        op = int(how[i - start])
-        if op == _INS:
-            j -= 1
-            steps.append((_INS, i, j))
-        elif op == _DEL:
-            i -= 1
-            steps.append((_DEL, i, j - 1))
-        else:
-            i, j = i - 1, j - 1
-            steps.append((_DIAG, i, j))
-    steps.reverse()
-    return steps
+        a, b = _codes(ref, hyp)
+        far = edit_distance(a.tolist(), b.tolist())
+        todo.append((len(a), far, k, a, b))
+    todo.sort(key=lambda x: x[:3])
+    while todo:
+        # The longest first; others join it while the band of all is not much more than their own.
+        group, own = [], 0
+        dels = inss = 0
+        while todo and len(group) < TOGETHER:
+            n, far, _, _, b = todo[-1]
+            d, e = max(dels, (far + n - len(b)) // 2), max(inss, (far + len(b) - n) // 2)
+            whole = (group[0][0] if group else n) * (d + e + 1) * (len(group) + 1)
+            own += n * (far + 1)
+            if group and (whole > CELLS or whole > 2 * own):
+                break
+            dels, inss = d, e
+            group.append(todo.pop())
+        for (_, _, k, _, _), ops in zip(group, _in_band([(a, b, far) for _, far, _, a, b in group]), strict=True):
+            out[k] = ops
+    return out
 
 
-def _together(pairs: list[tuple[list[str], list[str]]]) -> list[list[tuple[int, int, int]]]:
-    """Steps of several short pairs as ``_linear`` gives them, each numpy call serving all.
+def _places(ops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The reference and hypothesis places of operations: that of the word, or of the one ahead."""
+    return np.cumsum(ops != _INS) - 1, np.cumsum(ops != _DEL) - 1
 
-    Diagonals as in ``_diagonals`` with an axis for the pairs; shorter ones are padded by
-    words that match nothing, which no path to their own end touches.
-    """
-    ns, ms = [len(r) for r, _ in pairs], [len(h) for _, h in pairs]
-    n, m, count = max(ns), max(ms), len(pairs)
-    bits = (n + m + 1).bit_length()
-    kind = np.int32 if 2 * bits < 31 else np.int64
-    step, sub = kind((1 << bits) + 1), kind(1 << bits)
-    a, b = np.full((n, count), -1, np.int32), np.full((m, count), -2, np.int32)
-    for p, (ref, hyp) in enumerate(pairs):
-        ids: dict[str, int] = {}
-        a[: len(ref), p] = [ids.setdefault(w, len(ids)) for w in ref]
-        b[: len(hyp), p] = [ids.setdefault(w, len(ids)) for w in hyp]
-    b = b[::-1].copy()
-    width = min(n, m) + 1
-    cost, moved = np.empty((width, count), kind), np.empty((width + 1, count), kind)
-    other, less = np.empty((width, count), bool), np.empty((width, count), bool)
-    back: list[tuple[int, np.ndarray | None]] = []
-    before = last = np.zeros((n + 1, count), kind)
-    for k in range(1, n + m + 1):
-        now = np.empty((n + 1, count), kind)
-        if k <= m:
-            now[0] = k * step
-        if k <= n:
-            now[k] = k * step
-        i, z = max(1, k - m), min(n, k - 1)
-        size = z - i + 1
-        if size <= 0:
-            back.append((i, None))
-        else:
-            best, neq, won, q = cost[:size], other[:size], less[:size], moved[: size + 1]
-            np.not_equal(a[i - 1 : z], b[m - k + i : m - k + z + 1], out=neq)
-            np.multiply(neq, sub, out=best)
-            best += before[i - 1 : z]
-            np.add(last[i - 1 : z + 1], step, out=q)
-            how = (q[:-1] < best).view(np.uint8)
-            np.minimum(best, q[:-1], out=best)
-            np.less(q[1:], best, out=won)
-            np.putmask(how, won, _INS)
-            back.append((i, how))
-            np.minimum(best, q[1:], out=now[i : z + 1])
-        before, last = last, now
-    out = []
-    for p in range(count):
-        i, j, steps = ns[p], ms[p], []
-        while i and j:
-            start, how = back[i + j - 1]
-            op = int(how[i - start, p])
-            if op == _INS:
-                j -= 1
-                steps.append((_INS, i, j))
-            elif op == _DEL:
-                i -= 1
-                steps.append((_DEL, i, j - 1))
-            else:
-                i, j = i - 1, j - 1
-                steps.append((_DIAG, i, j))
-        steps += [(_DEL, x, -1) for x in range(i - 1, -1, -1)] + [(_INS, 0, y) for y in range(j - 1, -1, -1)]
-        steps.reverse()
-        out.append(steps)
-    return out
+
+# --- graphs ------------------------------------------------------------------------------
 
 
 def align_graphs(graphs: list[ReferenceGraph], hyps: list[list[str]]) -> list[list[Step]]:
-    """``align_graph`` of many; short ones without alternatives are aligned together, by size."""
-    out: list[list[Step] | None] = [None] * len(graphs)
-    plain = [k for k, g in enumerate(graphs) if not g.spans and 0 < g.size - 1 < LONG and 0 < len(hyps[k]) < LONG]
-    plain.sort(key=lambda k: (graphs[k].size, len(hyps[k])))
-    while plain:
-        n, m = graphs[plain[-1]].size, len(hyps[plain[-1]])
-        group: list[int] = []
-        # The largest first: with it as many others as the store of back-pointers holds and padding allows.
-        while plain and len(group) < 64 and graphs[plain[-1]].size * 4 >= n * 3:
-            m = max(m, len(hyps[plain[-1]]))
-            if group and (len(group) + 1) * n * m > CELLS:
-                break
-            group.append(plain.pop())
-        arcs = [[graphs[k].into[v][0] for v in graphs[k].order[1:]] for k in group]
-        for k, own, steps in zip(group, arcs, _together([([x.word for x in own], hyps[k]) for own, k in zip(arcs, group, strict=True)]), strict=True):
-            out[k] = _steps(graphs[k], [(op, own[i] if op != _INS else None, j) for op, i, j in steps], hyps[k])
-    return [s if s is not None else align_graph(g, h) for s, g, h in zip(out, graphs, hyps, strict=True)]
+    """``align_graph`` of many; those without alternatives are aligned together."""
+    plain = [k for k, g in enumerate(graphs) if not g.spans]
+    arcs = {k: [graphs[k].into[v][0] for v in graphs[k].order[1:]] for k in plain}
+    out: list[list[Step]] = [[] for _ in graphs]
+    for k, ops in zip(plain, plain_operations([([a.word for a in arcs[k]], hyps[k]) for k in plain]), strict=True):
+        x, y = _places(ops)
+        out[k] = _steps(graphs[k], [(op, arcs[k][i] if op != _INS else None, j) for op, i, j in zip(ops.tolist(), x.tolist(), y.tolist(), strict=True)], hyps[k])
+    for k, g in enumerate(graphs):
+        if g.spans:
+            out[k] = _steps(g, best_path(g, hyps[k]), hyps[k])
+    return out
 
 
 def align_graph(graph: ReferenceGraph, hyp: list[str]) -> list[Step]:
     """The best alignment of a finished graph with the words of a hypothesis."""
-    if not graph.spans:
-        arcs = [graph.into[v][0] for v in graph.order[1:]]
-        return _steps(graph, [(op, arcs[i] if op != _INS else None, j) for op, i, j in _linear([a.word for a in arcs], hyp)], hyp)
-    value, steps = _best(graph, hyp, None)
-    varies = len({len(graph.into[v]) for v in range(graph.size)} - {0, 1}) > 0
-    if varies:
-        for _ in range(64):
-            errors, words = _tally(steps, hyp)
-            if errors == 0:
-                break
-            # Any path with words is better than errors over none.
-            rate = Fraction(errors, words) if words else Fraction(errors + len(hyp) + graph.size)
-            steps = _best(graph, hyp, rate)[1]
-            e, w = _tally(steps, hyp)
-            if words and e * words >= errors * w:
-                break
-    return _steps(graph, steps, hyp)
+    return align_graphs([graph], [hyp])[0]
+
+
+def _some_path(graph: ReferenceGraph) -> list[str]:
+    """The words of one path through a graph."""
+    words, v = [], graph.end
+    while v != graph.order[0]:
+        arc = graph.into[v][0]
+        if arc.word is not None:
+            words.append(arc.word)
+        v = arc.src
+    return words[::-1]
+
+
+def best_path(graph: ReferenceGraph, hyp: list[str]) -> list[tuple[int, Arc | None, int]]:
+    """The steps of the least rate: rounds of the program until a round finds no better one."""
+    said = _some_path(graph)
+    errors, words = edit_distance(said, hyp), sum(w not in UNCOUNTED for w in said)
+    shortest, longest = (d[graph.end] for d in _depths(graph))
+    if not hyp and not shortest:  # a path without words says nothing, and nothing was heard
+        errors = 0
+    steps = None
+    while errors:
+        # A path as good as the known one has at most its rate times the most words as errors; any path with words is better than one without.
+        rate = Fraction(errors, words) if words else Fraction(errors + len(hyp) + graph.size)
+        steps = _Rows(graph, hyp, rate, max(errors, int(rate * longest)) if words else longest + len(hyp)).solve()
+        e, w = _tally(steps, hyp)
+        if words and e * words >= errors * w or not words and not w:
+            break
+        errors, words = e, w
+    if errors == 0 or words == 0:
+        # Nothing to weigh by words: the least errors.
+        steps = _Rows(graph, hyp, None, errors).solve()
+    return steps
 
 
 def _steps(graph: ReferenceGraph, steps: list, hyp: list[str]) -> list[Step]:
     out: list[Step] = []
     inside = -1
     filled = {a.span for op, a, _ in steps if op in (_DIAG, _DEL)}
+    # The span of the next step that is no insertion.
+    later, after = [-1] * len(steps), -1
+    for n in range(len(steps) - 1, -1, -1):
+        later[n] = after
+        if steps[n][0] != _INS:
+            after = steps[n][1].span
     for n, (op, arc, j) in enumerate(steps):
         if op == _INS:
             # An insertion between two words of a span belongs to it.
-            later = next((a.span for o, a, _ in steps[n + 1 :] if o != _INS), -1) if inside >= 0 else -1
-            out.append(Step("ins", INS, hyp[j], inside if later == inside else -1))
+            out.append(Step("ins", INS, hyp[j], inside if inside >= 0 and later[n] == inside else -1))
             continue
         inside = arc.span
         if op == _EMPTY:
@@ -557,107 +503,131 @@ def spread(pairs: DataFrame) -> DataFrame:
     return pairs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
 
 
-def align_pairs(pairs: DataFrame, rules: list[tuple[list[str], list[list[str]]]] | None = None, greedy: bool = False, empty_end: bool = False) -> DataFrame:
+def align_pairs(pairs: DataFrame, rules: list[tuple[list[str], list[list[str]]]] | None = None, greedy: bool = False, empty_end: bool = False, search: dict | None = None) -> DataFrame:
     """Stitches of pairs ``utt_id, ref, hyp[, spans][, rules]``: ``utt_id`` and ``STITCH_FIELDS``.
 
     ``ref`` and ``hyp`` are arrays of words (null: none); ``spans`` an array of entity spans
     (see ``graph_of``); ``rules`` of the argument hold for all pairs, those of the column
     (array of ``lhs, alts``) for their pair only, where no other rule has the same left side.
     Words of no span have the class ``global``.  ``greedy`` aligns as ``greedy.align_greedy``
-    does, which takes ``empty_end``.
+    does, which takes ``empty_end`` and the options ``search``.
     """
     names = [c for c in ("spans", "rules") if c in pairs.columns]
     common = {tuple(lhs): alts for lhs, alts in rules or []}
+    starts = {lhs[0] for lhs in common}
+    kind = pairs.schema["utt_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = ["utt_id", "seq", "class_label", "span", "ref_tok", "hyp_tok", "op", "ref_row", "span_row", "span_rows"]
-        types = [None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
-            types[0] = batch.schema.field("utt_id").type
+            key = batch.schema.field("utt_id").type
             for part in _parts(batch):
                 columns = {c: part.column(c).to_pylist() for c in part.schema.names}
-                graphs, hyps = [], []
-                for i in range(part.num_rows):
-                    own = {tuple(r["lhs"]): r["alts"] for r in (columns["rules"][i] if "rules" in columns else None) or []} | common
-                    graphs.append(graph_of([w for w in columns["ref"][i] or [] if w is not None], columns["spans"][i] if "spans" in columns else None, own))
-                    hyps.append([w for w in columns["hyp"][i] or [] if w is not None])
-                rows: list[tuple] = []
+                plain: list[tuple] = []
+                graphs: list[tuple] = []
+                for i, utt_id in enumerate(columns["utt_id"]):
+                    ref, hyp = ([w for w in columns[c][i] or [] if w is not None] for c in ("ref", "hyp"))
+                    spans = columns["spans"][i] if "spans" in columns else None
+                    own = {tuple(r["lhs"]): r["alts"] for r in (columns["rules"][i] if "rules" in columns else None) or []}
+                    if not greedy and not spans and starts.isdisjoint(ref) and {lhs[0] for lhs in own}.isdisjoint(ref):
+                        plain.append((utt_id, ref, hyp))
+                    else:
+                        graphs.append((utt_id, graph_of(ref, spans, own | common), hyp))
+                yield from _plain_stitches(plain, key)
                 if greedy:
                     from wordloom.operators.greedy import align_greedy
 
-                    found = [align_greedy(g, h, empty_end) for g, h in zip(graphs, hyps, strict=True)]
+                    found = [align_greedy(g, h, empty_end, **(search or {})) for _, g, h in graphs]
                 else:
-                    found = align_graphs(graphs, hyps)
-                for utt_id, graph, steps in zip(columns["utt_id"], graphs, found, strict=True):
-                    for seq, s in enumerate(steps, 1):
-                        inside = s.span >= 0
-                        place = graph.places[s.span] if inside else (None, None)
-                        rows.append((utt_id, seq, graph.spans[s.span] if inside else GLOBAL, s.span if inside else None, s.ref, s.hyp, s.op, s.row if s.row >= 0 and not inside else None, *place))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], fields)
+                    found = align_graphs([g for _, g, _ in graphs], [h for _, _, h in graphs])
+                yield from _graph_stitches([u for u, _, _ in graphs], [g for _, g, _ in graphs], found, key)
 
-    kind = pairs.schema["utt_id"].dataType.simpleString()
     return spread(pairs.select("utt_id", "ref", "hyp", *names)).mapInArrow(run, f"utt_id {kind}, {STITCH_FIELDS}")
 
 
+_NAMES = ["utt_id", "seq", "class_label", "span", "ref_tok", "hyp_tok", "op", "ref_row", "span_row", "span_rows"]
+_OPERATIONS = pa.array(["cor", "del", "sub", "ins"])
+
+
+def _plain_stitches(pairs: list[tuple], key: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Stitches of pairs ``utt_id, ref, hyp`` of plain sequences, gathered from arrays."""
+    found = plain_operations([(ref, hyp) for _, ref, hyp in pairs])
+    sizes = np.array([len(o) for o in found], np.int64)
+    total = int(sizes.sum())
+    if not total:
+        return
+    ops = np.concatenate(found)
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    refs, hyps = [w for _, r, _ in pairs for w in r], [w for _, _, h in pairs for w in h]
+    offset = lambda k: np.cumsum([0, *(len(p[k]) for p in pairs)])[:-1]
+    x, y = np.cumsum(ops != _INS) - 1, np.cumsum(ops != _DEL) - 1  # places among the words of all pairs
+    said, heard = ops != _INS, ops != _DEL
+    word = lambda words, other, at, there: pa.array([*words, other], pa.string()).take(pa.array(np.where(there, at, len(words))))
+    ref_tok, hyp_tok = word(refs, INS, x, said), word(hyps, DEL, y, heard)
+    same = pc.equal(ref_tok, hyp_tok).to_numpy(zero_copy_only=False)
+    code = np.where(ops == _INS, 3, np.where(ops == _DEL, 1, np.where(same, 0, 2)))
+    none = pa.nulls(total, pa.int64())
+    row = pa.array(x - np.repeat(offset(1), sizes), mask=~said)
+    pair = np.repeat(np.arange(len(pairs)), sizes)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([u for u, _, _ in pairs], key).take(pa.array(pair)), pa.array(np.arange(total) - first + 1), pa.array([GLOBAL]).take(pa.array(np.zeros(total, np.int64))), none, ref_tok, hyp_tok, _OPERATIONS.take(pa.array(code)), row, none, none], _NAMES
+    )
+
+
+def _graph_stitches(keys: list, graphs: list[ReferenceGraph], found: list[list[Step]], key: pa.DataType) -> Iterator[pa.RecordBatch]:
+    types = [key, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    rows: list[tuple] = []
+    for utt_id, graph, steps in zip(keys, graphs, found, strict=True):
+        for seq, s in enumerate(steps, 1):
+            inside = s.span >= 0
+            place = graph.places[s.span] if inside else (None, None)
+            rows.append((utt_id, seq, graph.spans[s.span] if inside else GLOBAL, s.span if inside else None, s.ref, s.hyp, s.op, s.row if s.row >= 0 and not inside else None, *place))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], _NAMES)
+
+
 # --- lattices ----------------------------------------------------------------------------
 
 
-def oracle_words(ref: list[str], arcs: list[tuple[int, int, str]], start: int, finals: set[int]) -> list[Step]:
-    """The alignment of least errors over all paths of a word lattice (``src, dst, word``)."""
+def lattice_graph(arcs: list[tuple[int, int, str]], start: int, finals: set[int]) -> ReferenceGraph:
+    """A word lattice (``src, dst, word``) as a finished graph: what the start reaches, with one end behind all final states."""
     after: dict[int, list[tuple[int, str]]] = {}
-    waits: dict[int, int] = {start: 0}
     for a, b, w in arcs:
         after.setdefault(a, []).append((b, w))
-        waits[b] = waits.get(b, 0) + 1
-        waits.setdefault(a, 0)
-    ready, order = [v for v, n in waits.items() if n == 0], []
-    while ready:
-        v = ready.pop()
-        order.append(v)
+    graph = ReferenceGraph()
+    known, todo = {start: 0}, [start]
+    while todo:
+        v = todo.pop()
         for b, _ in after.get(v, ()):
-            waits[b] -= 1
-            if waits[b] == 0:
-                ready.append(b)
-    if len(order) != len(waits):
-        raise ValueError("the lattice has a cycle")
-    n = len(ref)
-    big = (1 << 40, 0)
-    best: dict[int, list] = {v: [(big, None)] * (n + 1) for v in order}
-    best[start][0] = ((0, 0), None)
-    for v in order:
-        row = best[v]
-        for i in range(n):  # deletions
-            if row[i][0] < big:
-                c = (row[i][0][0] + 1, row[i][0][1] + 2)
-                if c < row[i + 1][0]:
-                    row[i + 1] = (c, (v, i, "del", ref[i], DEL))
+            if b not in known:
+                known[b] = graph.node()
+                todo.append(b)
+    for v, n in known.items():
         for b, w in after.get(v, ()):
-            to = best[b]
-            for i in range(n + 1):
-                (e, c), _ = row[i]
-                if (e, c) >= big:
-                    continue
-                offers = []
-                if w in ("<eps>", "0"):
-                    offers.append((i, (e, c), None))
-                else:
-                    if i < n:
-                        same = ref[i] == w
-                        offers.append((i + 1, (e + (not same), c + (0 if same else 3)), ("cor" if same else "sub", ref[i], w)))
-                    offers.append((i, (e + 1, c + 2), ("ins", INS, w)))
-                for k, value, what in offers:
-                    if value < to[k][0]:
-                        to[k] = (value, (v, i, *(what or (None, None, None))))
-    ends = [v for v in order if v in finals]
+            graph.arcs.append(Arc(n, known[b], None if w in (EPS, "0") else w))
+    ends = [known[v] for v in finals if v in known]
     if not ends:
         raise ValueError("the lattice has no final state")
-    v = min(ends, key=lambda x: best[x][n][0])
-    i, out = n, []
-    while best[v][i][1] is not None:
-        pv, pi, op, r, h = best[v][i][1]
-        if op is not None:
-            out.append(Step(op, r, h, -1))
-        v, i = pv, pi
-    out.reverse()
+    graph.end = graph.node()
+    graph.arcs += [Arc(v, graph.end, None) for v in sorted(ends)]
+    graph.finish()
+    if len(graph.order) != graph.size:
+        raise ValueError("the lattice has a cycle")
+    return graph
+
+
+def oracle_words(ref: list[str], arcs: list[tuple[int, int, str]], start: int, finals: set[int]) -> list[Step]:
+    """The alignment of least errors over all paths of a word lattice (``src, dst, word``).
+
+    The program runs over the lattice with the reference along its rows, so what it calls an
+    insertion is a deletion and the other way round.
+    """
+    graph = lattice_graph(arcs, start, finals)
+    out = []
+    for op, arc, i in _Rows(graph, ref, None, edit_distance(_some_path(graph), ref)).solve():
+        if op == _INS:
+            out.append(Step("del", ref[i], DEL, -1))
+        elif op == _DEL:
+            out.append(Step("ins", INS, arc.word, -1))
+        elif op == _DIAG:
+            out.append(Step("cor" if arc.word == ref[i] else "sub", ref[i], arc.word, -1))
     return out

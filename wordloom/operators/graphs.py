@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.tokens import words_of
-from wordloom.operators.blocks import BLOCK
+from wordloom.operators.blocks import BLOCK, block_no, stitched_runs
 
 #: Most static synonym rules that are sent to every task.
 MAX_RULES = 100_000
@@ -101,15 +101,13 @@ def rule_matches(tokens: DataFrame, rules: DataFrame, key: str = "utt_id") -> Da
 # --- entity spans ------------------------------------------------------------------------
 
 
-def entity_spans(rows: DataFrame, key: str, label: Column) -> DataFrame:
-    """Rows of a token table with ``_span``: the number of its entity span, null outside.
+def entity_spans(rows: DataFrame, key: str, label: str, place: str = "idx") -> DataFrame:
+    """``key, label, first, last, n``: consecutive rows of equal ``label`` make one span; rows without one are outside.
 
-    Consecutive rows of equal label make one span.
+    ``rows`` are numbered without holes by ``place``.  A span is found in two levels, like any run.
     """
-    order = Window.partitionBy(key).orderBy("pos")
-    told = rows.withColumn("_label", F.when(label != "", label))
-    told = told.withColumn("_new", (F.col("_label").isNotNull() & ~F.coalesce(F.lag("_label").over(order) == F.col("_label"), F.lit(False))).cast("int"))
-    return told.withColumn("_span", F.when(F.col("_label").isNotNull(), F.sum("_new").over(order))).drop("_new")
+    placed = rows.select(key, place, label, block_no(F.col(place)).alias("_block")).repartition(key, "_block")
+    return stitched_runs(placed, key, place, label, by_difference=False).withColumnsRenamed({"first_pos": "first", "last_pos": "last"})
 
 
 # --- graphs inside a task ----------------------------------------------------------------

@@ -2,43 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-
 from wordloom.operators.align import align_words
+from wordloom.operators.distance import edit_distance
 
+__all__ = ["anchors", "edit_distance", "has_error_streak", "match_maps"]
 
-def edit_distance(a: list, b: list) -> int:
-    """Unit-cost edit distance, exact at any length: a row of the table is two bit vectors of its differences."""
-    if not a or not b:
-        return len(a) + len(b)
-    places: dict = {}
-    for j, y in enumerate(b):
-        places.setdefault(y, []).append(j)
-    where = {y: np.array(p) for y, p in places.items()}
-    often: dict = {}
-
-    def matches(y) -> int:
-        if y in often or y not in where:
-            return often.get(y, 0)
-        p, bits = where[y], np.zeros(len(b) + 7 >> 3, np.uint8)
-        np.bitwise_or.at(bits, p >> 3, np.left_shift(1, p & 7).astype(np.uint8))
-        made = int.from_bytes(bits.tobytes(), "little")
-        if len(p) > 1_000:  # vectors of frequent tokens are kept: few, so the memory stays small
-            often[y] = made
-        return made
-
-    all_ones, last = (1 << len(b)) - 1, 1 << len(b) - 1
-    up, down, distance = all_ones, 0, len(b)
-    for x in a:
-        eq = matches(x)
-        flat = (((eq & up) + up) ^ up) | eq | down
-        right, left = down | (all_ones & ~(flat | up)), up & flat
-        distance += bool(right & last) - bool(left & last)
-        right = (right << 1 | 1) & all_ones
-        left = left << 1 & all_ones
-        vertical = eq | down
-        up, down = left | (all_ones & ~(vertical | right)), right & vertical
-    return distance
+# Fixed value: sequences of no more words than this are not looked at ahead.
+FEW = 10
 
 
 def match_maps(a: list[str], b: list[str], relax: bool = True) -> tuple[int, list[int], list[int]]:
@@ -69,3 +39,14 @@ def has_error_streak(side: list[int], longest: int) -> bool:
         else:
             run += 1
     return False
+
+
+def anchors(a: list[str], b: list[str], streak: int = 100) -> tuple[list[bool], list[bool]] | None:
+    """For each side, the words that a quick look matched, which a greedy search may then not get wrong.
+
+    None for short sequences, and where the hypothesis has more than ``streak`` mismatches in a row.
+    """
+    if len(a) <= FEW or len(b) <= FEW:
+        return None
+    _, left, right = match_maps(a, b)
+    return None if has_error_streak(right, streak) else ([x > 0 for x in left], [x > 0 for x in right])

@@ -18,8 +18,6 @@ from wordloom.plans import wer as plan
 from wordloom.session import table
 from wordloom.sinks import reports
 
-SEGMENT = 128
-
 
 def _number(recording: Column) -> Column:
     """A number of the recording for the injected errors."""
@@ -183,11 +181,8 @@ def stitch_hyp_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entity_span_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of equal labels, with their words in order; a span is found in two levels, like any run."""
-    from wordloom.operators.blocks import block_no, stitched_runs
-
     rows = token_rows(spark, sf_dir).select("utt_id", "pos", F.nullif(F.trim(F.coalesce("best_label", F.lit(""))), F.lit("")).alias("label"))
-    spans = stitched_runs(rows.withColumn("_block", block_no(F.col("pos"))).repartition("utt_id", "_block"), "utt_id", "pos", "label", by_difference=False)
-    return spans.withColumnRenamed("n", "n_rows")
+    return graphs.entity_spans(rows, "utt_id", "label", "pos").withColumnsRenamed({"first": "first_pos", "last": "last_pos", "n": "n_rows"})
 
 
 def tag_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,14 +233,9 @@ def json_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.json_log(injected(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK), case=True)
 
 
-def _segments(spark: SparkSession, sf_dir: str, size: int = SEGMENT) -> DataFrame:
-    """Token rows by segments of ``size`` places, each an utterance."""
-    r = token_rows(spark, sf_dir)
-    return r.withColumns({"recording": F.col("utt_id"), "utt_id": F.concat_ws("#", "utt_id", F.floor(F.col("pos") / size).cast("string")), "token": F.coalesce("token", F.lit(""))}).where(F.col("token") != "")
-
-
 def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _segments(spark, sf_dir).select("utt_id", "pos", "recording", F.lower("token").alias("token"))
+    """Pieces of 16 places, which SQL can check; ``edit_distance_recordings`` has whole recordings."""
+    rows = token_rows(spark, sf_dir).where(F.coalesce("token", F.lit("")) != "").select("utt_id", "pos", F.col("utt_id").alias("recording"), F.lower("token").alias("token"))
     small = rows.withColumn("utt_id", F.concat_ws("#", "recording", F.floor(F.col("pos") / 16).cast("string")))
     return _distances(inject_errors(small, _number(F.col("recording"))))
 
@@ -280,26 +270,61 @@ def _normalisations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ways.groupBy("recording", "label_id").agg(F.array_sort(F.collect_set("w")).alias("candidates"))
 
 
-def _entity_result(spark: SparkSession, sf_dir: str, size: int = SEGMENT, approach: str = "exact") -> plan.WerResult:
-    rows = _segments(spark, sf_dir, size)
+def _sides(spark: SparkSession, sf_dir: str, sentences: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Token rows as references, and hypothesis words with injected errors; by recording or by sentence.
+
+    A sentence ends with a row of ``.``, ``?`` or ``!``; its ``utt_id`` is the recording and its number.
+    """
+    rows = token_rows(spark, sf_dir).withColumns({"recording": F.col("utt_id"), "token": F.coalesce("token", F.lit(""))})
+    if sentences:
+        stop = F.coalesce(F.trim("punctuation").isin(".", "?", "!"), F.lit(False)).cast("long")
+        rows = running(rows, "utt_id", "pos", sums={"_stops": stop})
+        rows = rows.withColumn("utt_id", F.concat_ws("#", "recording", (F.col("_stops") - stop).cast("string"))).drop("_stops")
     # A row without its best label has the first of its labels.
-    best = fn.cleaned_label(F.coalesce("best_label", F.lit("")))
-    label = fn.label_literal(F.when(best != "", best).otherwise(fn.cleaned_label(fn.first_label(F.col("labels")))))
+    own = fn.cleaned_label(F.coalesce("best_label", F.lit("")))
+    label = fn.bound(own, lambda best: fn.label_literal(F.when(best != "", best).otherwise(fn.cleaned_label(fn.first_label(F.col("labels"))))))
     ref = rows.select("utt_id", "recording", "pos", *[label.alias("labels") if c == "labels" else F.coalesce(c, F.lit("")).alias(c) for c in st.ROW_COLUMNS])
-    hyp = inject_errors(rows.select("utt_id", "pos", "recording", F.lower("token").alias("token")), _number(F.col("recording")))
-    heard = hyp.where(F.col("op") != "del").select("utt_id", F.col("seq").alias("pos"), F.col("hyp_tok").alias("token"))
-    by_segment = ref.where(F.col("labels") != "[]").select("utt_id", "recording", fn.label_number(fn.first_label(F.col("labels"))).alias("label_id")).distinct()
-    norms = by_segment.join(_normalisations(spark, sf_dir), ["recording", "label_id"]).select("utt_id", "label_id", "candidates")
+    made = inject_errors(rows.select("utt_id", "pos", "recording", F.lower("token").alias("token")), _number(F.col("recording")))
+    return ref, made.where(F.col("op") != "del").select("utt_id", F.col("seq").alias("pos"), F.col("hyp_tok").alias("token"))
+
+
+def _entity_result(spark: SparkSession, sf_dir: str, sentences: bool = False, approach: str = "exact") -> plan.WerResult:
+    """References with entities, their verbalisations and synonyms against hypotheses with injected errors."""
+    ref, heard = _sides(spark, sf_dir, sentences)
+    by_utterance = ref.where(F.col("labels") != "[]").select("utt_id", "recording", fn.label_number(fn.first_label(F.col("labels"))).alias("label_id")).distinct()
+    norms = by_utterance.join(_normalisations(spark, sf_dir), ["recording", "label_id"]).select("utt_id", "label_id", "candidates")
     return plan.wer(ref.drop("recording"), heard, _rules(spark, sf_dir), norms, plan.WerOptions(composition_approach=approach))
 
 
+_PLAIN = plan.WerOptions(disable_cutoffs=True, disable_hyphen_ignore=True)
+
+
+def align_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every step of the alignment of each sentence's plain words."""
+    ref, heard = _sides(spark, sf_dir, True)
+    out = plan.align(ref.select("utt_id", "pos", "token"), heard, options=_PLAIN)
+    return out.select("utt_id", "seq", "ref_tok", "hyp_tok", "op", "ref_row")
+
+
+def align_sentence_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least rate of each sentence over all its verbalisations and synonyms."""
+    return _entity_result(spark, sf_dir, True).best().select("utt_id", "wer")
+
+
+def align_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain words of whole recordings."""
+    ref, heard = _sides(spark, sf_dir)
+    return metrics.best_wer(plan.align(ref.select("utt_id", "pos", "token"), heard, options=_PLAIN))
+
+
 def align_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole recordings with their entities and synonyms."""
     return _entity_result(spark, sf_dir).best()
 
 
 def align_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``align_entities`` by the greedy approach, in short segments."""
-    return _entity_result(spark, sf_dir, 32, "adapted").best()
+    """As ``align_entities`` by the greedy approach, with its beam and its quick look ahead."""
+    return _entity_result(spark, sf_dir, approach="adapted").best()
 
 
 def align_entity_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,14 +337,14 @@ def align_entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle_lattice_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lattices that offer each word and a wrong one: the right path has no error but for what the lattice lacks."""
-    rows = _segments(spark, sf_dir).select("utt_id", "recording", "pos", F.lower("token").alias("token"))
+    rows = token_rows(spark, sf_dir).select("utt_id", "pos", F.lower(F.coalesce("token", F.lit(""))).alias("token"))
     order = running(rows, "utt_id", "pos", sums={"n": F.lit(1)})
-    lost = F.pmod(F.col("pos") * 31 + _number(F.col("recording")) * 17, F.lit(100)) < 10
+    lost = F.pmod(F.col("pos") * 31 + _number(F.col("utt_id")) * 17, F.lit(100)) < 10
     state = F.col("n").cast("long")
     arcs = order.select("utt_id", state.alias("n"), F.explode(F.filter(F.array(F.when(~lost, F.col("token")), F.concat(F.lit("x"), F.col("pos").cast("string"))), lambda t: t.isNotNull())).alias("token"))
     arcs = arcs.select("utt_id", F.col("n").alias("line_no"), (F.col("n") - 1).alias("src"), F.col("n").alias("dst"), "token", F.lit(False).alias("final"))
     ends = order.groupBy("utt_id").agg(F.max(state).alias("src")).select("utt_id", (F.col("src") + 1).alias("line_no"), "src", F.lit(None).cast("long").alias("dst"), F.lit(None).cast("string").alias("token"), F.lit(True).alias("final"))
-    return plan.oracle_wer(rows.select("utt_id", "pos", "token"), arcs.unionByName(ends))
+    return plan.oracle_wer(rows, arcs.unionByName(ends)).select("utt_id", "n_ref", "errors")
 
 
 def synthetic_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,6 +365,35 @@ _HEARD = """hyp AS (SELECT recording AS utt_id, row_number() OVER (PARTITION BY
   coalesce(CASE WHEN NOT isnan(start_time_secs) THEN start_time_secs END, 0.0) AS s, coalesce(CASE WHEN NOT isnan(duration_secs) THEN duration_secs END, 0.0) AS d FROM ctm_words WHERE recording IS NOT NULL),
 k AS (SELECT *, CASE WHEN op <> 'del' THEN sum((op <> 'del')::INT) OVER (PARTITION BY utt_id ORDER BY seq) - 1 END AS hyp_idx FROM st)"""
 
+# Sentences and their words on both sides; the best alignment by rows of the table, a row of the reference at a time.
+_SENTENCES = f"""{_STITCHES}, sn AS (SELECT utt_id AS rec, pos, t, la, utt_id || '#' || coalesce(sum((pu IN ('.', '?', '!'))::INT) OVER (PARTITION BY utt_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS utt_id FROM base),
+pr AS (SELECT * FROM (SELECT utt_id, any_value(rec) AS rec, list(t ORDER BY pos) AS a FROM sn GROUP BY utt_id) LEFT JOIN (SELECT sn.utt_id, list(hyp_tok ORDER BY seq) AS b FROM st JOIN sn ON st.utt_id = rec AND st.pos = sn.pos WHERE op <> 'del' GROUP BY sn.utt_id) USING (utt_id))"""
+_TABLE = """p2 AS (SELECT utt_id, a, coalesce(b, []) AS b FROM pr),
+c AS (SELECT utt_id, 0 AS i, j, j * 1001 AS w, repeat('I', j) AS p FROM (SELECT utt_id, unnest(range(len(b) + 1)) AS j FROM p2)
+  UNION ALL SELECT utt_id, i, j, x.k + j * 1001, x.p || repeat('I', (j + x.n)) FROM (SELECT utt_id, i, j, min(struct_pack(k := y.w - j * 1001, n := -j, p := y.p)) OVER (PARTITION BY utt_id ORDER BY j) AS x
+    FROM (SELECT utt_id, i + 1 AS i, j, least(struct_pack(w := coalesce(lag(w) OVER o + CASE WHEN a[i + 1] = b[j] THEN 0 ELSE 1000 END, 1000000000), r := 0, p := coalesce(lag(p) OVER o, '') || 'M'), struct_pack(w := w + 1001, r := 1, p := p || 'D')) AS y
+      FROM c JOIN p2 USING (utt_id) WHERE i < len(a) WINDOW o AS (PARTITION BY utt_id ORDER BY j)))),
+f AS (SELECT utt_id, a, b, p, unnest(range(1, length(p) + 1)) AS seq FROM c JOIN p2 USING (utt_id) WHERE i = len(a) AND j = len(b)),
+g AS (SELECT utt_id, seq, substr(p, seq, 1) AS o, length(replace(substr(p, 1, seq), 'I', '')) AS x, length(replace(substr(p, 1, seq), 'D', '')) AS y, a, b FROM f)"""
+# The reference graph of each sentence: words, candidates of entities, synonyms; and all its paths.
+_GRAPH = r"""lw AS (SELECT s.utt_id, s.rec, s.pos, s.t, row_number() OVER (PARTITION BY s.utt_id ORDER BY s.pos) - 1 AS i, n.best FROM sn s JOIN lab n ON n.utt_id = s.rec AND n.pos = s.pos),
+sp AS (SELECT utt_id, rec, best, regexp_extract(best, '^([^:]*):', 1) AS label_id, min(i) AS f, max(i) + 1 AS z, list(t ORDER BY i) AS own FROM (SELECT *, i - row_number() OVER (PARTITION BY utt_id, best ORDER BY i) AS d FROM lw) WHERE best <> '' GROUP BY utt_id, rec, best, d),
+cw AS (SELECT norm_id, label_id, cand_no, coalesce(list(lower(word) ORDER BY word_no) FILTER (word <> ''), []) AS w FROM (SELECT * FROM v UNION ALL SELECT norm_id, label_id, cand_no, 0, '' FROM c5 ANTI JOIN v USING (norm_id, label_id, cand_no)) GROUP BY ALL),
+al AS (SELECT utt_id, f, z, own AS w FROM sp UNION SELECT sp.utt_id, f, z, w FROM sp JOIN norm_docs d ON d.recording = sp.rec JOIN cw ON cw.norm_id = d.norm_id AND cw.label_id = sp.label_id),
+an AS (SELECT *, row_number() OVER (PARTITION BY utt_id, f ORDER BY w) AS k FROM al),
+arc AS (SELECT utt_id, i::VARCHAR AS src, (i + 1)::VARCHAR AS dst, t AS word FROM lw WHERE best = ''
+  UNION ALL SELECT utt_id, CASE WHEN q = 1 THEN f::VARCHAR ELSE f || '.' || k || '.' || (q - 1) END, CASE WHEN q = len(w) THEN z::VARCHAR ELSE f || '.' || k || '.' || q END, w[q] FROM (SELECT *, unnest(range(1, len(w) + 1)) AS q FROM an) UNION ALL SELECT utt_id, f::VARCHAR, z::VARCHAR, NULL FROM an WHERE len(w) = 0),
+vw AS (SELECT DISTINCT utt_id, unnest(a || coalesce(b, [])) AS w FROM pr),
+ru AS (SELECT pr.utt_id, string_split(lhs, ' ') AS l, list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> '') AS r FROM pr, (SELECT lhs, unnest(alts) AS x FROM rules)
+  UNION SELECT utt_id, [w], [regexp_replace(w, '-$', '')] FROM vw WHERE regexp_matches(w, '^[^-]+-$') AND w NOT IN (SELECT lhs FROM rules) UNION SELECT utt_id, [w], string_split(w, '-') FROM vw WHERE regexp_matches(w, '^[^-]+(-[^-]+)+$') AND w NOT IN (SELECT lhs FROM rules)
+  UNION SELECT utt_id, string_split(w, '-'), [w] FROM vw WHERE regexp_matches(w, '^[^-]+(-[^-]+)+$') AND replace(w, '-', ' ') NOT IN (SELECT lhs FROM rules)),
+ma AS (SELECT arc.utt_id, src, dst, l, r, 1 AS n FROM arc JOIN ru ON arc.utt_id = ru.utt_id AND arc.word = l[1]
+  UNION ALL SELECT ma.utt_id, ma.src, arc.dst, l, r, n + (arc.word IS NOT NULL)::INT FROM ma JOIN arc ON arc.utt_id = ma.utt_id AND arc.src = ma.dst WHERE n < len(l) AND (arc.word IS NULL OR arc.word = l[n + 1])),
+ed AS (SELECT utt_id, src, dst, CASE WHEN word IS NULL THEN [] ELSE [word] END AS w FROM arc UNION SELECT utt_id, src, dst, r FROM ma WHERE n = len(l)),
+pa AS (SELECT utt_id, '0' AS at, []::VARCHAR[] AS w FROM pr UNION SELECT pa.utt_id, ed.dst, pa.w || ed.w FROM pa JOIN ed ON ed.utt_id = pa.utt_id AND ed.src = pa.at),
+co AS (SELECT utt_id, pa.w, b, list_distinct(list_filter(pa.w, lambda x: list_contains(b, x))) AS k FROM pa JOIN (SELECT utt_id, len(a)::VARCHAR AS at, coalesce(b, []) AS b FROM pr) USING (utt_id, at)),
+di AS (SELECT utt_id, len(w) AS n, levenshtein(array_to_string(list_transform(w, lambda x: chr(coalesce(35 + list_position(k, x), 33)::INT)), ''), array_to_string(list_transform(b, lambda x: chr(coalesce(35 + list_position(k, x), 34)::INT)), '')) AS e FROM co)"""
+
 QUERIES = {
     "tokenize_text": tokenize_text, "string_functions": string_functions, "label_functions": label_functions, "label_functions_all": label_functions_all, "inject_errors": inject, "wer_best": wer_best, "class_wer": class_wer,
     "speaker_wer": speaker_wer, "speaker_switch_wer": speaker_switch_wer, "sentence_wer": sentence_wer, "tag_wer": tag_wer, "case_stats": case_stats, "unigram_stats": unigram_stats,
@@ -347,11 +401,14 @@ QUERIES = {
     "unigrams_ranked_all": unigrams_ranked_all, "error_groups": error_groups, "sbs_lines": sbs_lines, "stitch_hyp_timing": stitch_hyp_timing,
     "entity_span_fusion": entity_span_fusion, "tag_resolution": tag_resolution, "synonym_rules_parse": synonym_rules, "vocabulary_union": vocabulary, "cutoff_synonyms": cutoff_synonyms,
     "compound_synonyms": compound_synonyms, "synonym_match_positions": synonym_match_positions, "aligned_nlp_rows": aligned_nlp_rows, "edit_distance": edit_distance, "edit_distance_recordings": edit_distance_recordings, "json_log": json_log,
-    "align_documents": align_documents, "align_entities": align_entities, "align_greedy": align_greedy, "align_entity_classes": align_entity_classes, "align_entity_rows": align_entity_rows,
+    "align_documents": align_documents, "align_sentences": align_sentences, "align_sentence_wer": align_sentence_wer, "align_recordings": align_recordings, "align_entities": align_entities, "align_greedy": align_greedy, "align_entity_classes": align_entity_classes, "align_entity_rows": align_entity_rows,
     "oracle_lattice_wer": oracle_lattice_wer, "synthetic_wer": synthetic_wer,
 }
 
 SQL = {
+    "align_sentences": f"""WITH RECURSIVE {_SENTENCES}, {_TABLE} SELECT utt_id, seq, CASE o WHEN 'I' THEN '<ins>' ELSE a[x] END AS ref_tok, CASE o WHEN 'D' THEN '<del>' ELSE b[y] END AS hyp_tok,
+      CASE o WHEN 'I' THEN 'ins' WHEN 'D' THEN 'del' ELSE CASE WHEN a[x] = b[y] THEN 'cor' ELSE 'sub' END END AS op, CASE WHEN o <> 'I' THEN x - 1 END AS ref_row FROM g""",
+    "oracle_lattice_wer": f"WITH {_STITCHES} SELECT utt_id, count(*) AS n_ref, count(*) FILTER (r < 10) AS errors FROM base GROUP BY utt_id",
     "tokenize_text": r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, lower(unnest(l)) AS token FROM w",
     "string_functions": r"""SELECT row_id, lower(token) AS low, ends_with(lower(token), 'ing') AS is_ing, translate(token, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = 'the' AS is_the,
       regexp_replace(token, '^\s+', '') AS l, regexp_replace(token, '\s+$', '') AS r, regexp_replace(token, '^\s+|\s+$', '', 'g') AS both, regexp_matches(token, '^<[^>]*>$') AS noise,

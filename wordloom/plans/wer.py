@@ -18,13 +18,19 @@ from wordloom.sinks import reports
 class WerOptions:
     """What may be asked of a comparison; the names follow the usual command line.
 
-    ``composition_approach``: ``exact`` and ``standard`` give the least errors per word,
-    ``adapted`` the greedy alignment, which is for short pairs.
+    ``composition_approach``: ``exact`` and ``standard`` give the least errors per word, and need
+    none of what follows; ``adapted`` gives the greedy alignment.  For that, ``numbests`` ends
+    the search when so many paths have reached the end, the best of which is taken; ``beam``
+    keeps that many states when the search is pruned (none: nothing is given up);
+    ``disable_approx_alignment`` leaves out the quick look ahead, which otherwise forbids errors
+    on words that it matched, unless the hypothesis has more than
+    ``levenstein_max_error_streak`` mismatches in a row.  A ``speaker_switch_context`` of 0 or
+    less leaves out the rates at changes of speaker.
     """
 
     disable_cutoffs: bool = False
     disable_hyphen_ignore: bool = False
-    disable_approx_alignment: bool = True
+    disable_approx_alignment: bool = False
     numbests: int = 100
     levenstein_max_error_streak: int = 100
     pr_threshold: int = 0
@@ -34,6 +40,7 @@ class WerOptions:
     use_punctuation: bool = False
     use_case: bool = False
     add_inserts_nlp: bool = False
+    beam: int | None = 20
 
     def __post_init__(self) -> None:
         if self.composition_approach not in ("exact", "standard", "adapted"):
@@ -67,16 +74,15 @@ def _arrays(tokens: DataFrame, name: str) -> DataFrame:
 
 def _span_arrays(ref: DataFrame, normalisations: DataFrame | None) -> DataFrame:
     """Entity spans per utterance with their candidates."""
-    label = first_label(F.col("labels"))
-    rows = st.numbered(graphs.entity_spans(ref, "utt_id", label))
-    spans = rows.where(F.col("_span").isNotNull()).groupBy("utt_id", "_span").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.first("_label").alias("_label"))
+    rows = st.numbered(ref.select("utt_id", "pos", F.nullif(first_label(F.col("labels")), F.lit("")).alias("_label")))
+    spans = graphs.entity_spans(rows, "utt_id", "_label").select("utt_id", "first", "last", "_label")
     spans = spans.withColumns({"marker": class_marker(F.col("_label")), "label_id": label_number(F.col("_label"))})
     if normalisations is not None:
         on = ["utt_id", "label_id"] if "utt_id" in normalisations.columns else ["label_id"]
         spans = spans.join(normalisations.select(*on, "candidates").dropDuplicates(on), on, "left")
     else:
         spans = spans.withColumn("candidates", F.lit(None).cast("array<array<string>>"))
-    return spans.groupBy("utt_id").agg(F.sort_array(F.collect_list(F.struct("first", "last", "marker", "candidates"))).alias("spans"))
+    return spans.groupBy("utt_id").agg(F.sort_array(F.collect_list(F.struct(F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "marker", "candidates"))).alias("spans"))
 
 
 def align(ref: DataFrame, hyp: DataFrame, rules: DataFrame | None = None, normalisations: DataFrame | None = None, options: WerOptions | None = None) -> DataFrame:
@@ -103,7 +109,8 @@ def align(ref: DataFrame, hyp: DataFrame, rules: DataFrame | None = None, normal
             raise ValueError(f"more than {graphs.MAX_RULES} rules")
         static = [(list(x.lhs), [list(a) for a in x.alts]) for x in found]
     greedy = options.composition_approach == "adapted"
-    return align_pairs(pairs, static, greedy, greedy and "duration" not in hyp.columns)
+    search = {"beam": options.beam, "most": options.numbests, "streak": None if options.disable_approx_alignment else options.levenstein_max_error_streak}
+    return align_pairs(pairs, static, greedy, greedy and "duration" not in hyp.columns, search)
 
 
 def _own_rules(options: WerOptions) -> Column | None:
@@ -207,11 +214,10 @@ def oracle_wer(ref: DataFrame, arcs: DataFrame, use_case: bool = False) -> DataF
     def run(batches):
         for pdf in batches:
             out = []
-            for row in pdf.itertuples():
-                links = [(a["src"], a["dst"], a["token"]) for a in row.arcs if not a["final"]]
-                ends = {a["src"] for a in row.arcs if a["final"]}
-                c = counts(oracle_words(list(row.ref) if row.ref is not None else [], links, row.arcs[0]["src"], ends))
-                out.append((row.utt_id, c["ins"], c["del"], c["sub"], c["n_ref"], c["ins"] + c["del"] + c["sub"]))
+            for utt_id, said, links in zip(pdf["utt_id"], pdf["ref"], pdf["arcs"], strict=True):
+                ends = {a["src"] for a in links if a["final"]}
+                c = counts(oracle_words(list(said) if said is not None else [], [(a["src"], a["dst"], a["token"]) for a in links if not a["final"]], links[0]["src"], ends))
+                out.append((utt_id, c["ins"], c["del"], c["sub"], c["n_ref"], c["ins"] + c["del"] + c["sub"]))
             yield pd.DataFrame(out, columns=["utt_id", "ins", "del", "sub", "n_ref", "errors"])
 
     kind = ref.schema["utt_id"].dataType.simpleString()

@@ -116,10 +116,11 @@ def json_log(stitches: DataFrame, utterances: DataFrame | None = None, breakdown
         sentences = metrics.sentence_wer(stitches).groupBy("utt_id").agg(F.sort_array(F.collect_list(F.struct("sentence", _rate().alias("r")))).alias("s"))
         parts += [
             keyed(metrics.speaker_wer(stitches), "speaker_id", "speakerWER", _rate(meta)),
-            metrics.speaker_switch_wer(stitches, context).select("utt_id", _rate(F.struct(F.col("window_size").alias("windowSize")).alias("meta")).alias("speakerSwitchWER")),
             sentences.select("utt_id", F.transform("s", lambda x: x["r"]).alias("sentenceWer")),
             keyed(metrics.tag_wer(stitches), "tag_id", "wer_tag", _rate(meta)),
         ]
+    if breakdowns and context > 0:
+        parts.append(metrics.speaker_switch_wer(stitches, context).select("utt_id", _rate(F.struct(F.col("window_size").alias("windowSize")).alias("meta")).alias("speakerSwitchWER")))
     if case:
         side = lambda k: F.struct(F.col(f"{k}_precision").alias("precision"), F.col(f"{k}_recall").alias("recall"), F.col(f"{k}_tp").alias("true_positive"), F.col(f"{k}_fp").alias("false_positive"), F.col(f"{k}_fn").alias("false_negative"))
         parts.append(metrics.case_stats(stitches).select("utt_id", F.struct(side("matching").alias("matching"), side("all").alias("all")).alias("caseWER")))
