@@ -288,12 +288,12 @@ def _sides(spark: SparkSession, sf_dir: str, sentences: bool = False) -> tuple[D
     return ref, made.where(F.col("op") != "del").select("utt_id", F.col("seq").alias("pos"), F.col("hyp_tok").alias("token"))
 
 
-def _entity_result(spark: SparkSession, sf_dir: str, sentences: bool = False, approach: str = "exact") -> plan.WerResult:
-    """References with entities, their verbalisations and synonyms against hypotheses with injected errors."""
+def _entity_inputs(spark: SparkSession, sf_dir: str, sentences: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """References with entities, hypotheses with injected errors, synonyms, and verbalisations."""
     ref, heard = _sides(spark, sf_dir, sentences)
     by_utterance = ref.where(F.col("labels") != "[]").select("utt_id", "recording", fn.label_number(fn.first_label(F.col("labels"))).alias("label_id")).distinct()
     norms = by_utterance.join(_normalisations(spark, sf_dir), ["recording", "label_id"]).select("utt_id", "label_id", "candidates")
-    return plan.wer(ref.drop("recording"), heard, _rules(spark, sf_dir), norms, plan.WerOptions(composition_approach=approach))
+    return ref.drop("recording"), heard, _rules(spark, sf_dir), norms
 
 
 _PLAIN = plan.WerOptions(disable_cutoffs=True, disable_hyphen_ignore=True)
@@ -308,7 +308,7 @@ def align_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def align_sentence_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least rate of each sentence over all its verbalisations and synonyms."""
-    return _entity_result(spark, sf_dir, True).best().select("utt_id", "wer")
+    return metrics.best_wer(plan.align(*_entity_inputs(spark, sf_dir, True))).select("utt_id", "wer")
 
 
 def align_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,20 +319,20 @@ def align_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def align_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole recordings with their entities and synonyms."""
-    return _entity_result(spark, sf_dir).best()
+    return metrics.best_wer(plan.align(*_entity_inputs(spark, sf_dir)))
 
 
 def align_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``align_entities`` by the greedy approach, with its beam and its quick look ahead."""
-    return _entity_result(spark, sf_dir, approach="adapted").best()
+    return metrics.best_wer(plan.align(*_entity_inputs(spark, sf_dir), plan.WerOptions(composition_approach="adapted")))
 
 
 def align_entity_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entity_result(spark, sf_dir).classes()
+    return metrics.class_wer(plan.align(*_entity_inputs(spark, sf_dir)))
 
 
 def align_entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entity_result(spark, sf_dir).aligned()
+    return plan.wer(*_entity_inputs(spark, sf_dir)).aligned()
 
 
 def oracle_lattice_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,6 +365,16 @@ _HEARD = """hyp AS (SELECT recording AS utt_id, row_number() OVER (PARTITION BY
   coalesce(CASE WHEN NOT isnan(start_time_secs) THEN start_time_secs END, 0.0) AS s, coalesce(CASE WHEN NOT isnan(duration_secs) THEN duration_secs END, 0.0) AS d FROM ctm_words WHERE recording IS NOT NULL),
 k AS (SELECT *, CASE WHEN op <> 'del' THEN sum((op <> 'del')::INT) OVER (PARTITION BY utt_id ORDER BY seq) - 1 END AS hyp_idx FROM st)"""
 
+# The nested bodies: wrappers, entities, candidates and words.
+NESTED = r"""RECURSIVE b AS (SELECT norm_id, body::JSON AS x FROM norm_docs WHERE json_valid(body)),
+w AS (SELECT norm_id, x FROM b UNION ALL SELECT norm_id, m.value FROM w, json_each(x) AS m WHERE json_type(m.value) IN ('OBJECT', 'ARRAY')
+  AND (json_type(x) = 'ARRAY' OR (NOT list_has_any(json_keys(x), ['candidates', 'class', 'verbalization', 'probability']) AND NOT regexp_matches(m.key, '^\s*[0-9]+\s*$')))),
+e AS (SELECT norm_id, m.key AS label_id, m.value AS x FROM w, json_each(x) AS m WHERE json_type(x) = 'OBJECT' AND regexp_matches(m.key, '^\s*[0-9]+\s*$') AND NOT list_has_any(json_keys(x), ['candidates', 'class', 'verbalization', 'probability'])),
+cf AS (SELECT norm_id, label_id, []::UBIGINT[] AS o, json_extract(x, 'candidates') AS x FROM e UNION ALL SELECT norm_id, label_id, list_append(o, m.id), m.value FROM cf, json_each(x) AS m WHERE json_type(x) = 'ARRAY'),
+c AS (SELECT norm_id, label_id, row_number() OVER (PARTITION BY norm_id, label_id ORDER BY o) AS cand_no, x FROM cf WHERE json_type(x) NOT IN ('ARRAY', 'NULL')),
+vf AS (SELECT norm_id, label_id, cand_no, []::UBIGINT[] AS o, CASE WHEN json_type(x) = 'OBJECT' THEN json_extract(x, 'verbalization') ELSE x END AS x FROM c
+  UNION ALL SELECT norm_id, label_id, cand_no, list_append(o, m.id), m.value FROM vf, json_each(x) AS m WHERE json_type(x) = 'ARRAY'),
+v AS (SELECT norm_id, label_id, cand_no, row_number() OVER (PARTITION BY norm_id, label_id, cand_no ORDER BY o) AS word_no, x ->> '$' AS word FROM vf WHERE json_type(x) NOT IN ('ARRAY', 'NULL', 'OBJECT'))"""
 # Sentences and their words on both sides; the best alignment by rows of the table, a row of the reference at a time.
 _SENTENCES = f"""{_STITCHES}, sn AS (SELECT utt_id AS rec, pos, t, la, utt_id || '#' || coalesce(sum((pu IN ('.', '?', '!'))::INT) OVER (PARTITION BY utt_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS utt_id FROM base),
 pr AS (SELECT * FROM (SELECT utt_id, any_value(rec) AS rec, list(t ORDER BY pos) AS a FROM sn GROUP BY utt_id) LEFT JOIN (SELECT sn.utt_id, list(hyp_tok ORDER BY seq) AS b FROM st JOIN sn ON st.utt_id = rec AND st.pos = sn.pos WHERE op <> 'del' GROUP BY sn.utt_id) USING (utt_id))"""
@@ -375,23 +385,27 @@ c AS (SELECT utt_id, 0 AS i, j, j * 1001 AS w, repeat('I', j) AS p FROM (SELECT
       FROM c JOIN p2 USING (utt_id) WHERE i < len(a) WINDOW o AS (PARTITION BY utt_id ORDER BY j)))),
 f AS (SELECT utt_id, a, b, p, unnest(range(1, length(p) + 1)) AS seq FROM c JOIN p2 USING (utt_id) WHERE i = len(a) AND j = len(b)),
 g AS (SELECT utt_id, seq, substr(p, seq, 1) AS o, length(replace(substr(p, 1, seq), 'I', '')) AS x, length(replace(substr(p, 1, seq), 'D', '')) AS y, a, b FROM f)"""
+# The label of each row: its best label, else the first of its labels, as ``cleaned_label`` gives it.
+_LABELS = r"""l0 AS (SELECT recording AS utt_id, pos, coalesce(best_label, '') AS x, coalesce(nullif(regexp_extract(labels, '^\s*[\[(]?\s*''((?:[^''\\]|\\.|'''')*)''', 1), ''), nullif(regexp_extract(labels, '^\s*[\[(]?\s*"((?:[^"\\]|\\.|"")*)"', 1), ''), regexp_extract(labels, '^\s*[\[(]?\s*([^''",;|/\t\])]*)', 1), '') AS y FROM rows_),
+l1 AS (SELECT utt_id, pos, list_transform([x, y], lambda z: upper(regexp_replace(regexp_replace(regexp_replace(z, '^[\s\x{a0}\x{3000}]+|[\s\x{a0}\x{3000}]+$', '', 'g'), '^0+([0-9])', '\1'), '(?s)^([^:\x{ff1a}\x{fe55}\x{2236}]*?)[\s\x{a0}\x{3000}]*[:\x{ff1a}\x{fe55}\x{2236}][\s\x{a0}\x{3000}]*(.*)$', '\1:\2'))) AS z FROM l0),
+lab AS (SELECT utt_id, pos, coalesce(nullif(z[1], ''), z[2]) AS best FROM l1)"""
 # The reference graph of each sentence: words, candidates of entities, synonyms; and all its paths.
 _GRAPH = r"""lw AS (SELECT s.utt_id, s.rec, s.pos, s.t, row_number() OVER (PARTITION BY s.utt_id ORDER BY s.pos) - 1 AS i, n.best FROM sn s JOIN lab n ON n.utt_id = s.rec AND n.pos = s.pos),
 sp AS (SELECT utt_id, rec, best, regexp_extract(best, '^([^:]*):', 1) AS label_id, min(i) AS f, max(i) + 1 AS z, list(t ORDER BY i) AS own FROM (SELECT *, i - row_number() OVER (PARTITION BY utt_id, best ORDER BY i) AS d FROM lw) WHERE best <> '' GROUP BY utt_id, rec, best, d),
-cw AS (SELECT norm_id, label_id, cand_no, coalesce(list(lower(word) ORDER BY word_no) FILTER (word <> ''), []) AS w FROM (SELECT * FROM v UNION ALL SELECT norm_id, label_id, cand_no, 0, '' FROM c5 ANTI JOIN v USING (norm_id, label_id, cand_no)) GROUP BY ALL),
+cw AS (SELECT norm_id, label_id, cand_no, coalesce(list(lower(word) ORDER BY word_no) FILTER (word <> ''), []) AS w FROM (SELECT * FROM v UNION ALL SELECT norm_id, label_id, cand_no, 0, '' FROM c ANTI JOIN v USING (norm_id, label_id, cand_no)) GROUP BY ALL),
 al AS (SELECT utt_id, f, z, own AS w FROM sp UNION SELECT sp.utt_id, f, z, w FROM sp JOIN norm_docs d ON d.recording = sp.rec JOIN cw ON cw.norm_id = d.norm_id AND cw.label_id = sp.label_id),
 an AS (SELECT *, row_number() OVER (PARTITION BY utt_id, f ORDER BY w) AS k FROM al),
 arc AS (SELECT utt_id, i::VARCHAR AS src, (i + 1)::VARCHAR AS dst, t AS word FROM lw WHERE best = ''
   UNION ALL SELECT utt_id, CASE WHEN q = 1 THEN f::VARCHAR ELSE f || '.' || k || '.' || (q - 1) END, CASE WHEN q = len(w) THEN z::VARCHAR ELSE f || '.' || k || '.' || q END, w[q] FROM (SELECT *, unnest(range(1, len(w) + 1)) AS q FROM an) UNION ALL SELECT utt_id, f::VARCHAR, z::VARCHAR, NULL FROM an WHERE len(w) = 0),
 vw AS (SELECT DISTINCT utt_id, unnest(a || coalesce(b, [])) AS w FROM pr),
-ru AS (SELECT pr.utt_id, string_split(lhs, ' ') AS l, list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> '') AS r FROM pr, (SELECT lhs, unnest(alts) AS x FROM rules)
-  UNION SELECT utt_id, [w], [regexp_replace(w, '-$', '')] FROM vw WHERE regexp_matches(w, '^[^-]+-$') AND w NOT IN (SELECT lhs FROM rules) UNION SELECT utt_id, [w], string_split(w, '-') FROM vw WHERE regexp_matches(w, '^[^-]+(-[^-]+)+$') AND w NOT IN (SELECT lhs FROM rules)
+rs AS (SELECT string_split(lhs, ' ') AS l, list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> '') AS r FROM (SELECT lhs, unnest(alts) AS x FROM rules)),
+ru AS (SELECT utt_id, [w] AS l, [regexp_replace(w, '-$', '')] AS r FROM vw WHERE regexp_matches(w, '^[^-]+-$') AND w NOT IN (SELECT lhs FROM rules) UNION SELECT utt_id, [w], string_split(w, '-') FROM vw WHERE regexp_matches(w, '^[^-]+(-[^-]+)+$') AND w NOT IN (SELECT lhs FROM rules)
   UNION SELECT utt_id, string_split(w, '-'), [w] FROM vw WHERE regexp_matches(w, '^[^-]+(-[^-]+)+$') AND replace(w, '-', ' ') NOT IN (SELECT lhs FROM rules)),
-ma AS (SELECT arc.utt_id, src, dst, l, r, 1 AS n FROM arc JOIN ru ON arc.utt_id = ru.utt_id AND arc.word = l[1]
+ma AS (SELECT arc.utt_id, src, dst, l, r, 1 AS n FROM arc JOIN ru ON arc.utt_id = ru.utt_id AND arc.word = l[1] UNION ALL SELECT utt_id, src, dst, l, r, 1 FROM arc JOIN rs ON arc.word = l[1]
   UNION ALL SELECT ma.utt_id, ma.src, arc.dst, l, r, n + (arc.word IS NOT NULL)::INT FROM ma JOIN arc ON arc.utt_id = ma.utt_id AND arc.src = ma.dst WHERE n < len(l) AND (arc.word IS NULL OR arc.word = l[n + 1])),
 ed AS (SELECT utt_id, src, dst, CASE WHEN word IS NULL THEN [] ELSE [word] END AS w FROM arc UNION SELECT utt_id, src, dst, r FROM ma WHERE n = len(l)),
-pa AS (SELECT utt_id, '0' AS at, []::VARCHAR[] AS w FROM pr UNION SELECT pa.utt_id, ed.dst, pa.w || ed.w FROM pa JOIN ed ON ed.utt_id = pa.utt_id AND ed.src = pa.at),
-co AS (SELECT utt_id, pa.w, b, list_distinct(list_filter(pa.w, lambda x: list_contains(b, x))) AS k FROM pa JOIN (SELECT utt_id, len(a)::VARCHAR AS at, coalesce(b, []) AS b FROM pr) USING (utt_id, at)),
+pa AS (SELECT utt_id, '0' AS nd, []::VARCHAR[] AS w FROM pr UNION SELECT pa.utt_id, ed.dst, pa.w || ed.w FROM pa JOIN ed ON ed.utt_id = pa.utt_id AND ed.src = pa.nd),
+co AS (SELECT utt_id, pa.w, b, list_distinct(list_filter(pa.w, lambda x: list_contains(b, x))) AS k FROM pa JOIN (SELECT utt_id, len(a)::VARCHAR AS nd, coalesce(b, []) AS b FROM pr) USING (utt_id, nd)),
 di AS (SELECT utt_id, len(w) AS n, levenshtein(array_to_string(list_transform(w, lambda x: chr(coalesce(35 + list_position(k, x), 33)::INT)), ''), array_to_string(list_transform(b, lambda x: chr(coalesce(35 + list_position(k, x), 34)::INT)), '')) AS e FROM co)"""
 
 QUERIES = {
@@ -408,6 +422,8 @@ QUERIES = {
 SQL = {
     "align_sentences": f"""WITH RECURSIVE {_SENTENCES}, {_TABLE} SELECT utt_id, seq, CASE o WHEN 'I' THEN '<ins>' ELSE a[x] END AS ref_tok, CASE o WHEN 'D' THEN '<del>' ELSE b[y] END AS hyp_tok,
       CASE o WHEN 'I' THEN 'ins' WHEN 'D' THEN 'del' ELSE CASE WHEN a[x] = b[y] THEN 'cor' ELSE 'sub' END END AS op, CASE WHEN o <> 'I' THEN x - 1 END AS ref_row FROM g""",
+    "align_sentence_wer": f"""WITH {NESTED}, {_SENTENCES.replace("pos, t, la", "pos, CASE WHEN regexp_matches(t, '^<[^:>]*:[^>]*>$') THEN '<unk>' ELSE t END AS t, la")}, {_RULES}, {_LABELS}, {_GRAPH}
+      SELECT utt_id, min(CASE WHEN n > 0 THEN e / n WHEN e > 0 THEN 'inf'::DOUBLE ELSE 0 END) AS wer FROM di GROUP BY utt_id""",
     "oracle_lattice_wer": f"WITH {_STITCHES} SELECT utt_id, count(*) AS n_ref, count(*) FILTER (r < 10) AS errors FROM base GROUP BY utt_id",
     "tokenize_text": r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, lower(unnest(l)) AS token FROM w",
     "string_functions": r"""SELECT row_id, lower(token) AS low, ends_with(lower(token), 'ing') AS is_ing, translate(token, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = 'the' AS is_the,

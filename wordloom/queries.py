@@ -52,21 +52,11 @@ n AS (SELECT *, list_transform(f, lambda x: CASE WHEN regexp_matches(x, '^[+-]?(
 d AS (SELECT *, CASE WHEN NOT paired THEN 'quoting' WHEN NOT coalesce(n_columns IN (5, 6) AND len(f) = n_columns, false) THEN 'columns' WHEN NOT coalesce(v[3] >= 0 AND isfinite(v[3]), false) THEN 'start'
   WHEN NOT coalesce(v[4] >= 0 AND isfinite(v[4]), false) THEN 'duration' WHEN n_columns = 6 AND NOT coalesce(v[6] >= 0 AND v[6] <= 1, false) THEN 'confidence' END AS reason FROM n)"""
 
-_NESTED = r"""RECURSIVE b AS (SELECT norm_id, body::JSON AS x FROM norm_docs WHERE json_valid(body)),
-w AS (SELECT norm_id, x FROM b UNION ALL SELECT norm_id, m.value FROM w, json_each(x) AS m WHERE json_type(m.value) IN ('OBJECT', 'ARRAY')
-  AND (json_type(x) = 'ARRAY' OR (NOT list_has_any(json_keys(x), ['candidates', 'class', 'verbalization', 'probability']) AND NOT regexp_matches(m.key, '^\s*[0-9]+\s*$')))),
-e AS (SELECT norm_id, m.key AS label_id, m.value AS x FROM w, json_each(x) AS m WHERE json_type(x) = 'OBJECT' AND regexp_matches(m.key, '^\s*[0-9]+\s*$') AND NOT list_has_any(json_keys(x), ['candidates', 'class', 'verbalization', 'probability'])),
-cf AS (SELECT norm_id, label_id, []::UBIGINT[] AS o, json_extract(x, 'candidates') AS x FROM e UNION ALL SELECT norm_id, label_id, list_append(o, m.id), m.value FROM cf, json_each(x) AS m WHERE json_type(x) = 'ARRAY'),
-c AS (SELECT norm_id, label_id, row_number() OVER (PARTITION BY norm_id, label_id ORDER BY o) AS cand_no, x FROM cf WHERE json_type(x) NOT IN ('ARRAY', 'NULL')),
-vf AS (SELECT norm_id, label_id, cand_no, []::UBIGINT[] AS o, CASE WHEN json_type(x) = 'OBJECT' THEN json_extract(x, 'verbalization') ELSE x END AS x FROM c
-  UNION ALL SELECT norm_id, label_id, cand_no, list_append(o, m.id), m.value FROM vf, json_each(x) AS m WHERE json_type(x) = 'ARRAY'),
-v AS (SELECT norm_id, label_id, cand_no, row_number() OVER (PARTITION BY norm_id, label_id, cand_no ORDER BY o) AS word_no, x ->> '$' AS word FROM vf WHERE json_type(x) NOT IN ('ARRAY', 'NULL', 'OBJECT'))"""
-
 SQL: dict[str, str] = catalog.SQL | {
-    "p5_found": f"""WITH {_NESTED} SELECT * FROM v UNION ALL SELECT norm_id, label_id, cand_no, 0, '' FROM c ANTI JOIN v USING (norm_id, label_id, cand_no)
+    "p5_found": f"""WITH {catalog.NESTED} SELECT * FROM v UNION ALL SELECT norm_id, label_id, cand_no, 0, '' FROM c ANTI JOIN v USING (norm_id, label_id, cand_no)
       UNION ALL SELECT norm_id, label_id, 0, 0, '' FROM e ANTI JOIN c USING (norm_id, label_id)""",
-    "p5_entities": f"WITH {_NESTED} SELECT norm_id, label_id, CASE WHEN json_type(x, 'class') NOT IN ('NULL', 'OBJECT', 'ARRAY') THEN x ->> 'class' END AS class FROM e",
-    "p5_candidates": f"WITH {_NESTED}, p AS (SELECT norm_id, label_id, cand_no, CASE WHEN json_type(x) = 'OBJECT' AND json_type(x, 'probability') NOT IN ('NULL', 'OBJECT', 'ARRAY') THEN try_cast(x ->> 'probability' AS DOUBLE) END AS p FROM c) SELECT norm_id, label_id, cand_no, CASE WHEN isfinite(p) THEN p END AS probability FROM p",
+    "p5_entities": f"WITH {catalog.NESTED} SELECT norm_id, label_id, CASE WHEN json_type(x, 'class') NOT IN ('NULL', 'OBJECT', 'ARRAY') THEN x ->> 'class' END AS class FROM e",
+    "p5_candidates": f"WITH {catalog.NESTED}, p AS (SELECT norm_id, label_id, cand_no, CASE WHEN json_type(x) = 'OBJECT' AND json_type(x, 'probability') NOT IN ('NULL', 'OBJECT', 'ARRAY') THEN try_cast(x ->> 'probability' AS DOUBLE) END AS p FROM c) SELECT norm_id, label_id, cand_no, CASE WHEN isfinite(p) THEN p END AS probability FROM p",
     "p3_found": f"WITH {_FIELDS} SELECT line_id, reason FROM d WHERE reason IS NOT NULL",
     "p3_loaded": f"WITH {_FIELDS} SELECT line_id, f[1] AS recording, f[2] AS channel, v[3] AS start_time_secs, v[4] AS duration_secs, f[5] AS word, CASE WHEN n_columns = 5 THEN 1.0 ELSE v[6] END AS confidence FROM d WHERE reason IS NULL",
     "p4_found": """WITH i AS (SELECT recording, round(start_time_secs * 1000)::BIGINT AS s, round(start_time_secs * 1000)::BIGINT + round(duration_secs * 1000)::BIGINT AS e FROM ctm_words
