@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from wordloom.operators import blocks
 from wordloom.operators.blocks import one_per_place, running, stitched_runs
 
 SCHEMA = "k string, pos long, v string, x long"
@@ -24,8 +25,9 @@ def table(spark, seed):
 
 
 @pytest.mark.parametrize("by_difference", [True, False])
-@pytest.mark.parametrize("size", [3, 16, 1000])
-def test_runs(spark, size, by_difference):
+@pytest.mark.parametrize(("size", "fan"), [(3, 4), (16, 2), (1000, 1024)])
+def test_runs(spark, size, fan, by_difference, monkeypatch):
+    monkeypatch.setattr(blocks, "FAN", fan)
     rows, df = table(spark, size)
     expected, last = [], None
     for k, pos, v, x in rows:
@@ -36,13 +38,14 @@ def test_runs(spark, size, by_difference):
             if v is not None:
                 expected.append(last)
     placed = one_per_place(df, "k", "pos", ["v", "x"], size)
-    for least in (1, 2):
+    for least in (1, 2) if by_difference else (1,):
         got = stitched_runs(placed, "k", "pos", "v", least, low=("x",), by_difference=by_difference)
         assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(e) for e in expected if e[4] >= least)
 
 
-@pytest.mark.parametrize("size", [4, 1000])
-def test_running(spark, size):
+@pytest.mark.parametrize(("size", "fan"), [(4, 3), (1000, 1024)])
+def test_running(spark, size, fan, monkeypatch):
+    monkeypatch.setattr(blocks, "FAN", fan)
     rows, df = table(spark, 1)
     got = {(r.k, r.pos): r for r in running(df.dropDuplicates(["k", "pos"]), "k", "pos", sums={"s": F.col("x")}, fills={"f": F.col("v")}, before={"b": F.col("v")}, size=size).collect()}
     assert len(got) == len(rows)

@@ -3,9 +3,12 @@ r"""Several values packed in one field (problem 2).
 Method: the delimiter is inferred per source.  A source is a field together with the layout
 of its punctuation (brackets, quotes and separators with the values masked), since writers
 differ within a field.  For each source every candidate delimiter splits every value; a
-candidate scores by the share of pieces of regular type (quoted as a whole, or of the shape
-that dominates the field), then by how consistently it finds more than one piece.  The best
-candidate then splits the rows, and the pieces are exploded with their position.
+candidate scores by the regularity of piece types (the share of pieces quoted as a whole, or of
+the shape that dominates the field), then by the consistency of piece counts: texts that fall
+into the same number L of pieces make a pattern, each pattern weighs its texts by (L - 1) / L,
+and the sum is divided by the number of patterns, so that few and long patterns score high and
+one-piece texts nothing.  The best candidate then splits the rows, and the pieces are exploded
+with their position.
 
 All of it is expressions in the JVM: the split is a regular expression that steps over
 quoted text, so a delimiter inside quotes belongs to the value.
@@ -103,9 +106,12 @@ def infer_delimiters(rows: DataFrame) -> DataFrame:
         p = _pieces(F.col("_bare"), name)
         tried.append(F.struct(F.lit(name).alias("name"), F.lit(-rank).alias("rank"), F.size(p).alias("pieces"), F.size(F.filter(p, regular)).alias("regular")))
     each = many.select("field", "_layout", "_n", F.explode(F.array(*tried)).alias("_t"))
-    scored = each.groupBy("field", "_layout", F.col("_t.name").alias("delimiter"), F.col("_t.rank").alias("_rank")).agg(
-        (F.sum(F.col("_t.regular") * F.col("_n")) / F.greatest(F.sum(F.col("_t.pieces") * F.col("_n")), F.lit(1))).alias("regularity"),
-        (F.sum(F.when(F.col("_t.pieces") > 1, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("consistency"),
+    source = ["field", "_layout", F.col("_t.name").alias("delimiter"), F.col("_t.rank").alias("_rank")]
+    patterns = each.groupBy(*source, F.col("_t.pieces").alias("_l")).agg(F.sum("_n").alias("_n"), F.sum(F.col("_t.regular") * F.col("_n")).alias("_regular"))
+    # A source has a pattern for each number of pieces that occurs, so the second count is of few rows.
+    scored = patterns.groupBy("field", "_layout", "delimiter", "_rank").agg(
+        (F.sum("_regular") / F.greatest(F.sum(F.col("_l") * F.col("_n")), F.lit(1))).alias("regularity"),
+        (F.sum(F.col("_n") * (F.col("_l") - 1) / F.greatest("_l", F.lit(1))) / (F.count(F.lit(1)) * F.sum("_n"))).alias("consistency"),
     )
     return scored.groupBy("field", "_layout").agg(F.max_by(F.struct("delimiter", "regularity", "consistency"), F.struct("regularity", "consistency", "_rank")).alias("_b")).select("field", "_layout", "_b.*")
 

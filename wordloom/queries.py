@@ -53,6 +53,13 @@ d AS (SELECT *, CASE WHEN NOT paired THEN 'quoting' WHEN NOT coalesce(n_columns
   WHEN NOT coalesce(v[4] >= 0 AND isfinite(v[4]), false) THEN 'duration' WHEN n_columns = 6 AND NOT coalesce(v[6] >= 0 AND v[6] <= 1, false) THEN 'confidence' END AS reason FROM n)"""
 
 SQL: dict[str, str] = catalog.SQL | {
+    "p2_found": r"""WITH f AS (SELECT row_id, 'labels' AS field, labels AS x FROM nlp_tokens UNION ALL SELECT row_id, 'wer_tags', wer_tags FROM nlp_tokens),
+t AS (SELECT row_id, field, regexp_replace(x, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g') AS x FROM f WHERE x IS NOT NULL),
+b AS (SELECT row_id, field, CASE WHEN regexp_matches(x, '(?s)^(\[.*\]|\(.*\)|\{.*\})$') THEN x[2:-2] ELSE x END AS x FROM t),
+q AS (SELECT row_id, field, CASE WHEN regexp_matches(x, '^\s*[''"]') THEN list_transform(regexp_extract_all(x, '(?s)''(?:[^''\\]|\\.|'''')*''|"(?:[^"\\]|\\.|"")*"'), lambda y: regexp_replace(replace(y[2:-2], repeat(y[1], 2), y[1]), '(?s)\\(.)', '\1', 'g'))
+  WHEN regexp_matches(x, '[;|/\t]') THEN regexp_split_to_array(x, '[;|/\t]') WHEN contains(x, ',') THEN string_split(x, ',') ELSE regexp_split_to_array(x, '\s+') END AS l FROM b),
+v AS (SELECT row_id, field, list_filter(list_transform(l, lambda y: regexp_replace(y, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g')), lambda y: y <> '') AS l FROM q)
+SELECT row_id, field, unnest(range(1, len(l) + 1)) AS idx, unnest(l) AS val FROM v WHERE len(l) > 1""",
     "p5_found": f"""WITH {catalog.NESTED} SELECT * FROM v UNION ALL SELECT norm_id, label_id, cand_no, 0, '' FROM c ANTI JOIN v USING (norm_id, label_id, cand_no)
       UNION ALL SELECT norm_id, label_id, 0, 0, '' FROM e ANTI JOIN c USING (norm_id, label_id)""",
     "p5_entities": f"WITH {catalog.NESTED} SELECT norm_id, label_id, CASE WHEN json_type(x, 'class') NOT IN ('NULL', 'OBJECT', 'ARRAY') THEN x ->> 'class' END AS class FROM e",
