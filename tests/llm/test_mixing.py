@@ -37,7 +37,8 @@ def test_budgets():
 
 
 @pytest.mark.skipif(not os.path.exists(bpe.BYTE_BPE_50K), reason="no vocabulary file")
-def test_drawn_records(spark):
+@pytest.mark.parametrize(("blocks", "block_tokens"), [(64, 1 << 20), (16, 40), (4, 100)])
+def test_drawn_records(spark, blocks, block_tokens):
     rng = random.Random(5)
     size = {"big": 400, " Big": 100, "SMALL ": 20, "mid": 150, "unlisted": 30, None: 5}
     rows, n = [], 0
@@ -48,7 +49,7 @@ def test_drawn_records(spark):
     rows += [(n + 1, "small", None, "", ""), (n + 2, "small", "", "", "")]
     docs = spark.createDataFrame(rows, DOCS)
     targets = spark.createDataFrame([("BIG", 0.5, 1), ("small", 0.2, 3), ("Mid", 0.2, 2), ("gone", 0.1, 4), (None, 0.1, 1), ("zero", None, 1)], "source string, target_share double, max_repeats int")
-    drawn = mixing.mix(docs, targets, blocks=64).collect()
+    drawn = mixing.mix(docs, targets, blocks=blocks, block_tokens=block_tokens).collect()
     of = {i: (s or "").strip().lower() for i, s, *_ in rows}
     assert all(of[r.doc_id] == r.source for r in drawn)
     seen = {}
@@ -70,7 +71,7 @@ def test_drawn_records(spark):
         done[r.source] += r.n_tokens
         so_far = sum(done.values())
         if i % 20 == 0:
-            assert all(abs(done[s] - so_far * report[s].target_share / 0.9) < 3 * (total / 64 + 31) for s in done)
+            assert all(abs(done[s] - so_far * report[s].target_share / 0.9) < 3 * (min(total / blocks, block_tokens) + 31) for s in done)
 
 
 @pytest.mark.skipif(not os.path.exists(bpe.BYTE_BPE_50K), reason="no vocabulary file")

@@ -46,6 +46,7 @@ def test_turns(spark, size):
 def test_turn_texts_and_edges(spark):
     df = rows_of(spark, talk())
     texts = {(r.speaker_no, r.first_pos): r.text for r in turns.turn_texts(df, size=7).collect()}
+    assert {(n, p) for n, p in texts} == {(n, first) for _, n, first, _ in TURNS}
     assert texts[1, 2] == "Well uh-huh"
     assert texts[3, 20] == "9:15 it's"
     assert turns.speaker_turns(rows_of(spark, [])).count() == 0
@@ -65,12 +66,23 @@ def test_layouts(spark):
     assert got["speaker", "2.0"] == ("speaker", 0)
     assert got["speaker", "unk"] == ("none", None)
     assert got["token", "[00:01:02]"][0] == "note"
-    # A second slot that goes beyond 59 is no time.
-    assert got["token", "01:02"][0] == "text"
+    assert got["token", "01:02"][0] == got["token", "3:99"][0] == "text"
     assert got["token", "90:59.5"][0] == "time"
     assert (got["token", "(a"][0], got["token", "b)"][0], got["token", "45"][0], got["token", "--"][0]) == ("open(", "close)", "text", "none")
 
 
+def test_single_rows_do_not_change_a_layout(spark):
+    rows = [("token", "12:30", 10**6), ("token", "00:59", 10**6), ("token", "12:75", 1), ("speaker", "ch 1 spk 2", 1_000), ("speaker", "ch 1 spk 3", 500), ("speaker", "ch 2 spk 3", 1)]
+    got = {(r.field, r.role, r.slot) for r in layouts.roles(layouts.mine(spark.createDataFrame(rows, "field string, text string, n long"))).collect()}
+    assert got == {("token", "time", None), ("speaker", "speaker", 1)}
+
+
+def test_many_layouts_are_joined_in_copies(spark, monkeypatch):
+    monkeypatch.setattr(layouts, "MAX_SENT", 0)
+    monkeypatch.setattr(layouts, "COPIES", 3)
+    assert found(turns.speaker_turns(rows_of(spark, talk()), size=5)) == sorted(TURNS)
+
+
 def event(r):
     m = re.match(r"\s*0*(\d+)", r["best_label_id"] or "") or re.match(r"\s*0*(\d+)\s*[:：]", r["best_label"] or "")
     if m:

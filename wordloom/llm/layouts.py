@@ -3,9 +3,10 @@
 A text is masked (runs of digits, letters) and cut into pieces.  The tree has fixed depth:
 field, number of pieces, the first ``DEPTH`` pieces, the last piece; a leaf is one layout.
 Distinct texts are counted before they enter the tree, so mining shuffles each text once.
-What a layout's slots mean is inferred from all values seen in them: a slot whose number
-varies along the labels of a layout is the speaker; slots parted by colons, of which all but
-the first stay under 60, are a time.
+What a layout's slots mean is inferred from all values seen in them, weighed by how often they
+occur, so that single bad rows change nothing: the slot whose number varies most along the
+labels of a layout is the speaker; slots parted by colons, of which all but the first nearly
+always stay under 60, are a time.
 """
 
 from __future__ import annotations
@@ -14,8 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEPTH = 8
-#: Up to so many layouts are sent to every task; with more, they are joined by shuffle.
+#: Up to so many layouts are sent to every task; with more, they are joined by shuffle, each in so many copies, since one
+#: layout may be that of nearly all rows.
 MAX_SENT = 20_000
+COPIES = 64
+#: A slot is a part of a time if at least this share of its values is under 60.
+TIME_SHARE = 0.9
 
 # Numbers in words, as speaker labels write them.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
@@ -50,16 +55,17 @@ def path(text: Column) -> Column:
 def mine(texts: DataFrame) -> DataFrame:
     """Layouts of ``field, text, n`` rows (texts with their counts): ``field, path, shape, closing, n, slots``.
 
-    ``slots`` has, for each numeric slot, the least and greatest value seen.
+    ``slots`` has, for each numeric slot, the share of values under 60 and of the commonest value.
     """
     distinct = texts.where(F.col("text").isNotNull() & (F.col("text") != "")).groupBy("field", "text").agg(F.sum("n").alias("n"))
     leaves = distinct.select("field", path(F.col("text")).alias("path"), "n", F.regexp_extract_all("text", F.lit(r"([0-9]+)"), F.lit(1)).alias("numbers"))
     slots = leaves.select("field", "path", "n", F.posexplode_outer("numbers").alias("slot", "value"))
-    each = slots.groupBy("field", "path", F.coalesce("slot", F.lit(-1)).alias("slot")).agg(F.sum("n").alias("n"), F.min(F.col("value").try_cast("long")).alias("least"), F.max(F.col("value").try_cast("long")).alias("most"))
+    values = slots.groupBy("field", "path", F.coalesce("slot", F.lit(-1)).alias("slot"), F.col("value").try_cast("long").alias("value")).agg(F.sum("n").alias("n"))
+    each = values.groupBy("field", "path", "slot").agg(F.sum("n").alias("n"), (F.sum(F.when(F.col("value") < 60, F.col("n")).otherwise(0)) / F.sum("n")).alias("low"), (F.max("n") / F.sum("n")).alias("same"))
     parts = F.split("path", "\u0001")
     return (
         each.groupBy("field", "path")
-        .agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.when(F.col("slot") >= 0, F.struct("slot", "least", "most")))).alias("slots"))
+        .agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.when(F.col("slot") >= 0, F.struct("slot", "low", "same")))).alias("slots"))
         .withColumns({"shape": F.get(parts, F.lit(1)), "closing": F.coalesce(F.nullif(F.get(parts, F.lit(2)), F.lit("")), F.substring(F.get(parts, F.lit(1)), -1, 1))})
     )
 
@@ -77,7 +83,7 @@ def roles(layouts: DataFrame) -> DataFrame:
     shuts = closing.isin(*ENCLOSING.values())
     counterpart = F.create_map(*[F.lit(x) for kv in ENCLOSING.items() for x in kv])
     matched = opens & (counterpart[opening] == closing)
-    under_60 = F.forall(F.filter(slots, lambda s: (s["slot"] > 0) & (s["slot"] < F.size(F.split(shape, ":")))), lambda s: s["most"] < 60)
+    under_60 = F.forall(F.filter(slots, lambda s: (s["slot"] > 0) & (s["slot"] < F.size(F.split(shape, ":")))), lambda s: s["low"] >= TIME_SHARE)
     token = (
         F.when(matched & (F.length(shape) > 1), F.lit("note"))
         .when(~shape.contains("9") & ~shape.contains("a") & (closing != "a") & (closing != "9"), "none")
@@ -86,8 +92,8 @@ def roles(layouts: DataFrame) -> DataFrame:
         .when(shuts & (closing != "*"), F.concat(F.lit("close"), closing))
         .otherwise("text")
     )
-    varying = F.filter(slots, lambda s: s["least"] < s["most"])
-    slot = F.when(F.size(varying) > 0, varying[0]["slot"]).otherwise(F.lit(0))
+    # The least share of one value, the first of equal ones.
+    slot = F.array_min(F.transform(slots, lambda s: F.struct(s["same"].alias("same"), s["slot"].alias("slot"))))["slot"]
     by_speaker = F.col("field") == "speaker"
     return layouts.select(
         "field",

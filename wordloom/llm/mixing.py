@@ -5,6 +5,10 @@ weight w may not start before ``floor((i - 1) / w)`` and must be done by ``ceil(
 Earliest deadline first then interleaves the sources so that each, at any time, is less than
 one block from its share.  Records fill the blocks of their source in an order of their own.
 
+A block has at most ``BLOCK_TOKENS`` tokens.  A large mix is cut into frames, in each of which every
+source has the same part of its budget, and one schedule of at most about ``BLOCKS`` slots serves
+every frame.
+
 Sizes are tokens of a public tokenizer.  Only totals per source and the schedule, whose
 length is a parameter, are on the driver; the places of records are prefix sums in two
 levels, over buckets of bounded size and within them.
@@ -28,8 +32,10 @@ from pyspark.sql import functions as F
 from wordloom.llm.bpe import BYTE_BPE_50K, count_tokens
 from wordloom.session import checkpointed
 
-#: Blocks of the schedule; the mix is off its shares by less than one of them at any point.
+#: Blocks of a frame; a source with less than a block has one of its own. The mix is off its shares by less than a block at any point.
 BLOCKS = 4096
+#: Most tokens of a block.
+BLOCK_TOKENS = 1 << 20
 #: Records in a bucket of the prefix sums, on average, and the most sources that may be listed.
 BUCKET_ROWS = 50_000
 MAX_SOURCES = 10_000
@@ -111,7 +117,7 @@ def pfair(weights: dict[str, int], slots: int) -> list[str]:
     return order
 
 
-def _draw(documents: DataFrame, targets: DataFrame, total: int | None, blocks: int, path: str) -> tuple[DataFrame, list[Plan]]:
+def _draw(documents: DataFrame, targets: DataFrame, total: int | None, blocks: int, path: str, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, list[Plan]]:
     spark = documents.sparkSession
     wanted = read_targets(targets)
     listed = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text").where(F.col("source").isin(list(wanted)))
@@ -120,14 +126,18 @@ def _draw(documents: DataFrame, targets: DataFrame, total: int | None, blocks: i
     sums = {x.source: x for x in sized.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
     plans = budgets(wanted, {s: x.t for s, x in sums.items()}, total)
     mixed = sum(p.budget for p in plans)
-    block = max(1, -(-mixed // blocks))
+    frames = max(1, -(-mixed // (blocks * block_tokens)))
+    block = max(1, -(-mixed // (frames * blocks)))
+    # Blocks of each source in a frame; the last may be smaller.
+    shares_of = {p.source: -(-(-(-p.budget // frames)) // block) for p in plans if p.budget > 0}
+    width = sum(shares_of.values())
 
     turn: dict[str, int] = {}
     slots = []
-    for slot, s in enumerate(pfair({p.source: p.budget for p in plans}, blocks)):
+    for slot, s in enumerate(pfair(shares_of, width)):
         slots.append((s, turn.get(s, 0), slot))
         turn[s] = turn.get(s, 0) + 1
-    schedule = spark.createDataFrame(slots, "source string, _block long, slot long")
+    schedule = spark.createDataFrame(slots, "source string, _block long, _slot long")
     known = spark.createDataFrame([(p.source, p.budget, p.available) for p in plans if p.budget > 0], "source string, _budget long, _available long")
 
     buckets = 1 + max((x.n for x in sums.values()), default=0) // BUCKET_ROWS
@@ -140,18 +150,21 @@ def _draw(documents: DataFrame, targets: DataFrame, total: int | None, blocks: i
     start = F.col("_offset") + F.col("_in")
     # A pass over the source begins where the one before ended; records that start within the budget are drawn.
     passes = F.greatest(F.lit(0), F.ceil((F.col("_budget") - start) / F.col("_available"))).cast("int")
-    drawn = placed.withColumn("_passes", passes).where(F.col("_passes") > 0).select("doc_id", "source", "n_tokens", "_available", start.alias("_start"), F.explode(F.sequence(F.lit(1), F.col("_passes"))).alias("copy_no"))
+    drawn = placed.withColumn("_passes", passes).where(F.col("_passes") > 0).select("doc_id", "source", "n_tokens", "_available", "_budget", start.alias("_start"), F.explode(F.sequence(F.lit(1), F.col("_passes"))).alias("copy_no"))
     drawn = drawn.withColumn("source_offset", F.col("_start") + (F.col("copy_no") - 1).cast("long") * F.col("_available"))
-    timed = drawn.withColumn("_block", F.floor(F.col("source_offset") / block)).join(F.broadcast(schedule), ["source", "_block"], "left")
-    return timed.select("doc_id", "source", "copy_no", "n_tokens", F.coalesce("slot", F.lit(blocks).cast("long")).alias("slot"), "source_offset"), plans
+    # The frame of an offset, and the block from the frame's first offset on; a frame begins at the budget's part, rounded up.
+    part = F.ceil(F.col("_budget") / F.lit(frames)).cast("long")
+    frame = F.least(F.floor(F.col("source_offset") / part), F.lit(frames - 1)).cast("long")
+    timed = drawn.withColumns({"_frame": frame, "_block": F.floor((F.col("source_offset") - frame * part) / block)}).join(F.broadcast(schedule), ["source", "_block"])
+    return timed.select("doc_id", "source", "copy_no", "n_tokens", (F.col("_frame") * width + F.col("_slot")).alias("slot"), "source_offset"), plans
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, blocks: int = BLOCKS, path: str = BYTE_BPE_50K) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, blocks: int = BLOCKS, path: str = BYTE_BPE_50K, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """``doc_id, source, copy_no, n_tokens, slot, source_offset``: the drawn records.
 
     Ordered by ``slot, source_offset`` they are the mix; ``slot`` is the block's place.
     """
-    return _draw(documents, targets, total, blocks, path)[0]
+    return _draw(documents, targets, total, blocks, path, block_tokens)[0]
 
 
 def shares(documents: DataFrame, targets: DataFrame, total: int | None = None, blocks: int = BLOCKS, path: str = BYTE_BPE_50K) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from wordloom.llm import layouts
 from wordloom.llm.charforms import plain
 from wordloom.llm.repeats import core_of, seconds
-from wordloom.operators.blocks import BLOCK, block_carry, block_no, one_per_place, stitched_runs
+from wordloom.operators.blocks import BLOCK, block_carry, block_no, one_per_place, running, stitched_runs
 
 # Sounds of hesitation, with letters drawn out.
 HESITATION = r"^(?:u+h+m*|u+m+|e+r+m*|e+h+m*|h+m+|m{2,}|ä+h+m*|e+u+h+)$"
@@ -48,10 +48,17 @@ def _counted(tokens: DataFrame, column: str) -> DataFrame:
     return tokens.groupBy(F.col(column).alias("text")).agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _sent(small: DataFrame) -> DataFrame:
-    """A table of layouts or labels, kept and sent to every task if its rows are counted to be few, else joined by shuffle."""
+def _looked_up(rows: DataFrame, small: DataFrame, on: str) -> DataFrame:
+    """Rows joined with a table of layouts or labels.
+
+    The table is kept, and sent to every task if its rows are counted to be few.  Else it is
+    joined by shuffle, in copies among which the rows of a common layout are spread.
+    """
     kept = small.persist(StorageLevel.MEMORY_AND_DISK)
-    return F.broadcast(kept) if kept.count() <= layouts.MAX_SENT else kept
+    if kept.count() <= layouts.MAX_SENT:
+        return rows.join(F.broadcast(kept), on, "left")
+    copies = kept.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(layouts.COPIES - 1))))
+    return rows.withColumn("_copy", F.pmod(F.hash("recording", "pos"), F.lit(layouts.COPIES))).join(copies, [on, "_copy"], "left").drop("_copy")
 
 
 #: What ``detail`` adds to each row.
@@ -68,10 +75,10 @@ def classified(tokens: DataFrame, detail: bool = False, size: int = BLOCK) -> Da
     texts = _counted(tokens, "token").select(F.lit("token").alias("field"), _framed(plain(F.col("text"))).alias("text"), "n")
     labels = _counted(tokens, "speaker").select(F.col("text").alias("_label"), layouts.numbered(plain(F.col("text"))).alias("text"), "n")
     roles = layouts.roles(layouts.mine(texts.unionByName(labels.select(F.lit("speaker").alias("field"), "text", "n"))))
-    by_token = _sent(roles.where(F.col("field") == "token").select(F.col("path").alias("_tp"), F.col("role").alias("_role")))
+    by_token = roles.where(F.col("field") == "token").select(F.col("path").alias("_tp"), F.col("role").alias("_role"))
     slots = roles.where(F.col("field") == "speaker").select(F.col("path").alias("_sp"), F.col("slot").alias("_slot"))
     number = F.get(F.regexp_extract_all("text", F.lit(r"([0-9]+)"), F.lit(1)), F.col("_slot")).try_cast("long")
-    by_label = _sent(labels.withColumn("_sp", layouts.path(F.col("text"))).join(slots, "_sp").where(F.col("_label").isNotNull()).select("_label", number.alias("speaker_no")))
+    by_label = labels.withColumn("_sp", layouts.path(F.col("text"))).join(slots, "_sp").where(F.col("_label").isNotNull()).select("_label", number.alias("speaker_no"))
 
     rows = tokens.select(
         "recording",
@@ -84,7 +91,7 @@ def classified(tokens: DataFrame, detail: bool = False, size: int = BLOCK) -> Da
     ).withColumn("_simple", F.col("text").rlike("^[A-Za-z]+$"))
     # Most tokens are bare letters, for which framing and masking change nothing.
     path = F.when(F.col("_simple"), layouts.path(F.lit("a"))).otherwise(layouts.path(_framed(F.col("text"))))
-    told = rows.withColumn("_tp", path).join(by_token, "_tp", "left").join(by_label, "_label", "left")
+    told = _looked_up(_looked_up(rows.withColumn("_tp", path), by_token, "_tp"), by_label, "_label")
 
     said = F.col("_simple") | F.coalesce(F.col("text").rlike(r"[\p{L}\p{N}]"), F.lit(False))
     core = F.when(F.col("_simple"), F.lower("text")).otherwise(core_of(F.col("text")))
@@ -110,13 +117,15 @@ def turn_words(tokens: DataFrame, detail: bool = False, size: int = BLOCK) -> Da
 def _notes(rows: DataFrame, size: int) -> DataFrame:
     """Annotations over several rows, by block: ``recording, _block, _notes`` (places ``a`` to ``z``).
 
-    An opening mark whose next mark closes it makes one.  Only rows with marks are looked
-    at, and a block has at most as many annotations as rows.
+    An opening mark whose next mark closes it makes one.  Only rows with marks are looked at;
+    the next mark of the last in a block is the first of a later block.
     """
-    order = Window.partitionBy("recording").orderBy("pos")
+    order = Window.partitionBy("recording", "_block").orderBy("pos")
     shut = F.create_map(*[F.lit(x) for o, c in layouts.ENCLOSING.items() for x in (f"open{o}", f"close{c}")])
-    marks = rows.where(F.col("mark").isNotNull()).select("recording", "pos", "mark", F.lead("pos").over(order).alias("z"), F.lead("mark").over(order).alias("_next"))
-    pairs = marks.where(F.col("mark").startswith("open") & (F.col("_next") == shut[F.col("mark")]))
+    marks = rows.where(F.col("mark").isNotNull()).select("recording", "_block", "pos", "mark", F.struct("pos", "mark").alias("_self"))
+    after = block_carry(marks, "recording", "pos", {}, {"_after": "_self"})
+    told = marks.join(after, ["recording", "_block"]).withColumn("_next", F.coalesce(F.lead("_self").over(order), F.col("_after")))
+    pairs = told.where(F.col("mark").startswith("open") & (F.col("_next.mark") == shut[F.col("mark")])).select("recording", "pos", F.col("_next.pos").alias("z"))
     by_block = pairs.select("recording", F.explode(F.sequence(block_no(F.col("pos"), size), block_no(F.col("z"), size))).alias("_block"), F.struct(F.col("pos").alias("a"), "z").alias("_n"))
     return by_block.groupBy("recording", "_block").agg(F.collect_list("_n").alias("_notes"))
 
@@ -133,13 +142,11 @@ def turn_texts(tokens: DataFrame, piece: int = 256, size: int = BLOCK) -> DataFr
     A turn of more than ``piece`` words comes in pieces numbered from 1, so that a monologue
     of any length is never one row.
     """
-    words = turn_words(tokens, True, size)
-    turns = stitched_runs(words, "recording", "pos", "speaker_no", by_difference=False).select("recording", "first_pos")
-    # The place of each word finds its turn: the last one that starts at or before it.
-    marked = words.join(turns.select("recording", F.col("first_pos").alias("pos"), F.col("first_pos").alias("_first")), ["recording", "pos"], "left")
-    carried = block_carry(marked, "recording", "pos", {"_carried": "_first"}, {})
-    order = Window.partitionBy("recording", "_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    placed = marked.join(carried, ["recording", "_block"]).withColumn("first_pos", F.coalesce(F.last("_first", ignorenulls=True).over(order), F.col("_carried")))
+    words = turn_words(tokens, True, size).where(F.col("speaker_no").isNotNull()).select("recording", "pos", "speaker_no", "text")
+    # A word opens a turn if the one ahead is by another speaker; its place is carried on to those that follow.
+    told = running(words, "recording", "pos", before={"_prev": F.col("speaker_no")}, size=size)
+    opens = F.when(~F.coalesce(F.col("_prev") == F.col("speaker_no"), F.lit(False)), F.col("pos"))
+    placed = running(told, "recording", "pos", fills={"first_pos": opens}, size=size)
     cut = placed.withColumn("piece", F.floor((F.col("pos") - F.col("first_pos")) / piece) + 1)
     texts = cut.groupBy("recording", "speaker_no", "first_pos", "piece").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("_w"))
     return texts.select("recording", "speaker_no", "first_pos", "piece", F.array_join(F.transform("_w", lambda w: w["text"]), " ").alias("text"))
