@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,4 +51,31 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_turns, p6_found, p7_found, p7_runs, p8_ids, p9_mix, p9_shares, p10_found)}
-SQL: dict[str, str] = {}
+
+
+def _plain(x: str) -> str:
+    """SQL for the plain form of a text, by the database's own Unicode functions and the fixed values of ``charforms``."""
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+    narrow = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
+    seen = rf"regexp_replace({x}, '[\p{{Cf}}\x{{FE00}}-\x{{FE0F}}{charforms.UNSEEN}]|[\x{{00}}-\x{{08}}\x{{0E}}-\x{{1B}}\x{{7F}}-\x{{84}}\x{{86}}-\x{{9F}}]', '', 'g')"
+    even = f"translate(regexp_replace(translate({seen}, '{charforms.HYPHENS}', '{'-' * len(charforms.HYPHENS)}'), '\\p{{Zs}}', ' ', 'g'), '{wide}', '{narrow}')"
+    for c in [*range(0xFB00, 0xFB07), 0x132, 0x133, *range(0x1C4, 0x1CD), *range(0x1F1, 0x1F4), 0x13F, 0x140]:
+        even = f"replace({even}, '{chr(c)}', '{unicodedata.normalize('NFKC', chr(c))}')"
+    other, latin = "".join(charforms.LOOK_ALIKES), "".join(charforms.LOOK_ALIKES.values())
+    words = f"list_transform(string_split(nfc_normalize({even}), ' '), lambda w: CASE WHEN regexp_matches(w, '\\p{{Latin}}') THEN translate(w, '{other}', '{latin}') ELSE w END)"
+    return rf"regexp_replace(nfc_normalize(array_to_string({words}, ' ')), '^\s+|\s+$', '', 'g')"
+
+
+_EVENTS = rf"""e AS (SELECT recording, pos, ts, end_ts, row_id, {_plain("best_label_id")} AS i, {_plain("best_label")} AS l, {_plain("token")} AS t FROM nlp_tokens WHERE recording IS NOT NULL AND pos IS NOT NULL QUALIFY row_number() OVER (PARTITION BY recording, pos ORDER BY row_id) = 1),
+v AS (SELECT recording, pos, ts, end_ts, coalesce('#' || coalesce(nullif(regexp_extract(i, '^0*([0-9]+)(?:\.0*)?$', 1), ''), nullif(regexp_extract(l, '^0*([0-9]+)\s*:', 1), '')), nullif(lower(regexp_replace(t, '^[^\p{{L}}\p{{N}}\p{{M}}]+|[^\p{{L}}\p{{N}}\p{{M}}]+$', '', 'g')), '')) AS event FROM e),
+d AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY pos) - row_number() OVER (PARTITION BY recording, event ORDER BY pos) AS run FROM v)"""
+_SECONDS = r"""CASE WHEN regexp_matches(x, '^[0-9]+(:[0-9]+){0,2}(\.[0-9]*)?$') THEN list_reduce(list_transform(string_split(x, ':'), lambda y: y::DOUBLE), lambda a, b: a * 60 + b) END"""
+
+SQL: dict[str, str] = {
+    "p6_found": f"""WITH a AS (SELECT 'nlp_tokens' AS tbl, row_id, token AS x FROM nlp_tokens UNION ALL SELECT 'ctm_words', row_id, word FROM ctm_words), b AS (SELECT tbl, row_id, x, {_plain("x")} AS plain FROM a WHERE x IS NOT NULL)
+      SELECT tbl, row_id, plain FROM b WHERE plain <> trim(x, ' ')""",
+    "p7_found": f"WITH {_EVENTS} SELECT recording, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n_events FROM d WHERE event IS NOT NULL GROUP BY recording, event, run HAVING count(*) > 1",
+    "p7_runs": f"""WITH {_EVENTS}, s AS (SELECT recording, event, run, pos, list_transform([ts, end_ts], lambda z: replace(trim(z, ' '), ',', '.')) AS z FROM d WHERE event IS NOT NULL),
+      c AS (SELECT recording, event, run, pos, list_transform(z, lambda x: {_SECONDS}) AS z FROM s)
+      SELECT recording, event, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n_events, min(z[1]) AS start_secs, max(z[2]) AS end_secs, max(z[2]) - min(z[1]) AS duration_secs FROM c GROUP BY recording, event, run HAVING count(*) > 1""",
+}
