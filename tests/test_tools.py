@@ -38,7 +38,8 @@ def test_readers(spark, tmp_path):
     assert (r.label_id, r["class"], r.candidates) == ("0", "X", [["a", "b"]])
     (tmp_path / "s.json").write_text('{"1": {"entity_type": "T"}}')
     assert [tuple(r) for r in readers.read_sidecar(spark, str(tmp_path / "s.json")).collect()] == [("1", "T")]
-    assert readers.read_sidecar(spark, str(tmp_path / "missing.json")).count() == 0
+    with pytest.raises(Exception, match="(?i)path"):
+        readers.read_sidecar(spark, str(tmp_path / "missing.json")).count()
 
 
 def test_rules(spark):

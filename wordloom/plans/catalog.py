@@ -79,7 +79,7 @@ def string_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "row_id", fn.lowercase(t).alias("low"), fn.ends_with_any_case(t, "ING").alias("is_ing"), fn.ascii_equal(t, F.lit("The")).alias("is_the"), fn.left_trimmed(t).alias("l"), fn.right_trimmed(t).alias("r"),
         fn.trimmed(t).alias("both"), fn.is_noise_code(t).alias("noise"), fn.trimmed_noise_code(t).alias("noise_code"), fn.upper_count(t).cast("long").alias("uppers"), fn.is_countable_ngram(t).alias("countable"),
-        F.array_join(fn.split_on(t, "-"), "+").alias("parts"),
+        fn.joined(fn.split_on(t, "-"), "+").alias("parts"),
     )
 
 
@@ -420,6 +420,9 @@ QUERIES = {
 }
 
 SQL = {
+    "synthetic_wer": """WITH d AS (SELECT u.utt_id, (p.pos * 31 + u.utt_id * 17) % 100 AS r FROM (SELECT unnest(range(200)) AS utt_id) u, (SELECT unnest(range(1, 1001)) AS pos) p),
+      g AS (SELECT utt_id, count(*) FILTER (r >= 20 AND r < 30) AS ins, count(*) FILTER (r < 10) AS del, count(*) FILTER (r >= 10 AND r < 20) AS sub, count(*) AS n_ref, count(*) FILTER (r >= 20) AS c FROM d GROUP BY utt_id)
+      SELECT utt_id, ins, del, sub, n_ref, ins + del + sub AS errors, (ins + del + sub) / n_ref AS wer, c / (c + ins + sub) AS precision, c / (c + del + sub) AS recall FROM g""",
     "align_sentences": f"""WITH RECURSIVE {_SENTENCES}, {_TABLE} SELECT utt_id, seq, CASE o WHEN 'I' THEN '<ins>' ELSE a[x] END AS ref_tok, CASE o WHEN 'D' THEN '<del>' ELSE b[y] END AS hyp_tok,
       CASE o WHEN 'I' THEN 'ins' WHEN 'D' THEN 'del' ELSE CASE WHEN a[x] = b[y] THEN 'cor' ELSE 'sub' END END AS op, CASE WHEN o <> 'I' THEN x - 1 END AS ref_row FROM g""",
     "align_sentence_wer": f"""WITH {NESTED}, {_SENTENCES.replace("pos, t, la", "pos, CASE WHEN regexp_matches(t, '^<[^:>]*:[^>]*>$') THEN '<unk>' ELSE t END AS t, la")}, {_RULES}, {_LABELS}, {_GRAPH}

@@ -85,13 +85,8 @@ def _span_arrays(ref: DataFrame, normalisations: DataFrame | None) -> DataFrame:
     return spans.groupBy("utt_id").agg(F.sort_array(F.collect_list(F.struct(F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "marker", "candidates"))).alias("spans"))
 
 
-def align(ref: DataFrame, hyp: DataFrame, rules: DataFrame | None = None, normalisations: DataFrame | None = None, options: WerOptions | None = None) -> DataFrame:
-    """Stitches of all utterances of ``ref`` or ``hyp`` (``utt_id, pos, token``; ``labels`` make entity spans).
-
-    ``rules`` (``lhs, alts``) are static synonyms, ``normalisations`` (``label_id,
-    candidates``, perhaps ``utt_id``) the ways to say an entity.
-    """
-    options = options or WerOptions()
+def pairs_of(ref: DataFrame, hyp: DataFrame, rules: DataFrame | None, normalisations: DataFrame | None, options: WerOptions) -> tuple[DataFrame, list]:
+    """Pairs ``utt_id, ref, hyp[, spans][, rules]`` as the aligner takes them, and the static rules."""
     r, h = normalised(ref, options), normalised(hyp, options)
     pairs = _arrays(r, "ref").join(_arrays(h, "hyp"), "utt_id", "full")
     if "labels" in ref.columns:
@@ -108,6 +103,17 @@ def align(ref: DataFrame, hyp: DataFrame, rules: DataFrame | None = None, normal
         if len(found) > graphs.MAX_RULES:
             raise ValueError(f"more than {graphs.MAX_RULES} rules")
         static = [(list(x.lhs), [list(a) for a in x.alts]) for x in found]
+    return pairs, static
+
+
+def align(ref: DataFrame, hyp: DataFrame, rules: DataFrame | None = None, normalisations: DataFrame | None = None, options: WerOptions | None = None) -> DataFrame:
+    """Stitches of all utterances of ``ref`` or ``hyp`` (``utt_id, pos, token``; ``labels`` make entity spans).
+
+    ``rules`` (``lhs, alts``) are static synonyms, ``normalisations`` (``label_id,
+    candidates``, perhaps ``utt_id``) the ways to say an entity.
+    """
+    options = options or WerOptions()
+    pairs, static = pairs_of(ref, hyp, rules, normalisations, options)
     greedy = options.composition_approach == "adapted"
     search = {"beam": options.beam, "most": options.numbests, "streak": None if options.disable_approx_alignment else options.levenstein_max_error_streak}
     return align_pairs(pairs, static, greedy, greedy and "duration" not in hyp.columns, search)

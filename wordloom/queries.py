@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wordloom.operators import intervals, nested, packed, rejects
-from wordloom.plans import catalog
+from wordloom.plans import catalog, roundtrips
 from wordloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,7 +44,7 @@ def p5_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.flat_tables(table(spark, sf_dir, "norm_docs"))["candidates"].drop("n_words")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_loaded, p4_found, p5_found, p5_entities, p5_candidates)} | catalog.QUERIES
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_loaded, p4_found, p5_found, p5_entities, p5_candidates)} | catalog.QUERIES | roundtrips.QUERIES
 
 _FIELDS = r"""l AS (SELECT line_id, n_columns, regexp_replace(raw_line, '^\s+|\s+$', '', 'g') AS t FROM ctm_lines WHERE raw_line IS NOT NULL),
 f AS (SELECT line_id, n_columns, t, length(regexp_replace(t, '[^"]', '', 'g')) % 2 = 0 AS paired, list_transform(regexp_extract_all(t, '(?:"[^"]*"|[^ \t"])+'), lambda x: replace(x, '"', '')) AS f FROM l WHERE t <> ''),
@@ -52,7 +52,7 @@ n AS (SELECT *, list_transform(f, lambda x: CASE WHEN regexp_matches(x, '^[+-]?(
 d AS (SELECT *, CASE WHEN NOT paired THEN 'quoting' WHEN NOT coalesce(n_columns IN (5, 6) AND len(f) = n_columns, false) THEN 'columns' WHEN NOT coalesce(v[3] >= 0 AND isfinite(v[3]), false) THEN 'start'
   WHEN NOT coalesce(v[4] >= 0 AND isfinite(v[4]), false) THEN 'duration' WHEN n_columns = 6 AND NOT coalesce(v[6] >= 0 AND v[6] <= 1, false) THEN 'confidence' END AS reason FROM n)"""
 
-SQL: dict[str, str] = catalog.SQL | {
+SQL: dict[str, str] = catalog.SQL | roundtrips.SQL | {
     "p2_found": r"""WITH f AS (SELECT row_id, 'labels' AS field, labels AS x FROM nlp_tokens UNION ALL SELECT row_id, 'wer_tags', wer_tags FROM nlp_tokens),
 t AS (SELECT row_id, field, regexp_replace(x, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g') AS x FROM f WHERE x IS NOT NULL),
 b AS (SELECT row_id, field, CASE WHEN regexp_matches(x, '(?s)^(\[.*\]|\(.*\)|\{.*\})$') THEN x[2:-2] ELSE x END AS x FROM t),

@@ -6,8 +6,6 @@ file, taken from the whole text, since splits of a file have no common row numbe
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,9 +101,7 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
-    """``key, value`` of a JSON object whose members have the type ``value``; a missing file is empty."""
-    if not os.path.exists(path) and "://" not in path:
-        return spark.createDataFrame([], f"key string, value {value}")
+    """``key, value`` of a JSON object whose members have the type ``value``; a missing file is an error."""
     parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,{value}>").alias("_m"))
     return parsed.select(F.explode("_m").alias("key", "value"))
 
