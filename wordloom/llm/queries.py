@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm import bpe, charforms, mixing, readability, repeats, turns
+from wordloom.llm import bpe, charforms, layouts, mixing, readability, repeats, turns
 from wordloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,7 +71,28 @@ v AS (SELECT recording, pos, ts, end_ts, coalesce('#' || coalesce(nullif(regexp_
 d AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY pos) - row_number() OVER (PARTITION BY recording, event ORDER BY pos) AS run FROM v)"""
 _SECONDS = r"""CASE WHEN regexp_matches(x, '^[0-9]+(:[0-9]+){0,2}(\.[0-9]*)?$') THEN list_reduce(list_transform(string_split(x, ':'), lambda y: y::DOUBLE), lambda a, b: a * 60 + b) END"""
 
+def _speaker(x: str) -> str:
+    """SQL for the first number of a speaker label, numbers in words among them."""
+    for n, word in enumerate(layouts.NUMBER_WORDS):
+        x = rf"regexp_replace({x}, '(^|[^\p{{L}}]){word}($|[^\p{{L}}])', '\1{n}\2')"
+    return f"try_cast(nullif(regexp_extract({x}, '([0-9]+)', 1), '') AS BIGINT)"
+
+
+_TIME = r"'(?i)(?:^|[^0-9\p{L}])[0-9]+\s*:\s*TIME(?:[^\p{L}_>]|$)'"
+# Words and marks by plain patterns; a mark that the next one closes takes the rows between; speakers are carried forward.
+_TURNS = rf"""e AS (SELECT recording, pos, {_speaker(f'lower({_plain("speaker")})')} AS sp, {_plain("token")} AS t, coalesce(regexp_matches(labels, {_TIME}), false) OR coalesce(regexp_matches(best_label, {_TIME}), false) AS timed
+  FROM nlp_tokens WHERE recording IS NOT NULL AND pos IS NOT NULL QUALIFY row_number() OVER (PARTITION BY recording, pos ORDER BY row_id) = 1),
+f AS (SELECT *, regexp_replace(t, '^["''“”‘’\s]+|["''“”‘’\s.,;:!?…-]+$', '', 'g') AS x, lower(regexp_replace(t, '^[^\p{{L}}\p{{N}}\p{{M}}]+|[^\p{{L}}\p{{N}}\p{{M}}]+$', '', 'g')) AS core FROM e),
+r AS (SELECT *, regexp_matches(x, '(?s)^(\[.*\]|\(.*\)|<.*>|\{{.*\}}|\*.*\*)$') AS note, regexp_matches(x, '^\p{{N}}+(:\p{{N}}+){{1,2}}(\.\p{{N}}+)?$') AS clock FROM f),
+k AS (SELECT *, coalesce(regexp_matches(t, '[\p{{L}}\p{{N}}]') AND NOT regexp_matches(core, '{turns.HESITATION}') AND NOT note AND NOT (clock AND NOT timed), false) AS word,
+  CASE WHEN note OR clock OR NOT regexp_matches(x, '[\p{{L}}\p{{M}}\p{{N}}]') THEN NULL WHEN x[1] IN ('[', '(', '<', '{{') THEN x[1] WHEN x[-1] IN (']', ')', '>', '}}') THEN x[-1] END AS mark, last_value(sp IGNORE NULLS) OVER (PARTITION BY recording ORDER BY pos) AS who FROM r),
+m AS (SELECT recording, pos, lead(pos) OVER o AS z, mark || lead(mark) OVER o AS pair FROM k WHERE mark IS NOT NULL WINDOW o AS (PARTITION BY recording ORDER BY pos)),
+w AS (SELECT k.recording, k.pos, who, t FROM k ASOF LEFT JOIN (SELECT * FROM m WHERE pair IN ('[]', '()', '<>', '{{}}')) n ON n.recording = k.recording AND n.pos <= k.pos WHERE word AND who IS NOT NULL AND (n.z IS NULL OR n.z < k.pos)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY recording ORDER BY pos) AS run FROM (SELECT *, (who IS DISTINCT FROM lag(who) OVER (PARTITION BY recording ORDER BY pos))::INT AS new FROM w))"""
+
 SQL: dict[str, str] = {
+    "p1_found": f"WITH {_TURNS} SELECT recording, who AS speaker_no, min(pos) AS first_pos, max(pos) AS last_pos FROM g GROUP BY recording, run, who",
+    "p1_turns": f"WITH {_TURNS}, c AS (SELECT *, min(pos) OVER (PARTITION BY recording, run) AS first_pos FROM g) SELECT recording, who AS speaker_no, first_pos, (pos - first_pos) // 256 + 1 AS piece, string_agg(t, ' ' ORDER BY pos) AS text FROM c GROUP BY ALL",
     "p6_found": f"""WITH a AS (SELECT 'nlp_tokens' AS tbl, row_id, token AS x FROM nlp_tokens UNION ALL SELECT 'ctm_words', row_id, word FROM ctm_words), b AS (SELECT tbl, row_id, x, {_plain("x")} AS plain FROM a WHERE x IS NOT NULL)
       SELECT tbl, row_id, plain FROM b WHERE plain <> trim(x, ' ')""",
     "p7_found": f"WITH {_EVENTS} SELECT recording, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n_events FROM d WHERE event IS NOT NULL GROUP BY recording, event, run HAVING count(*) > 1",

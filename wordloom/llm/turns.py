@@ -142,7 +142,7 @@ def turn_texts(tokens: DataFrame, piece: int = 256, size: int = BLOCK) -> DataFr
     A turn of more than ``piece`` words comes in pieces numbered from 1, so that a monologue
     of any length is never one row.
     """
-    words = turn_words(tokens, True, size).where(F.col("speaker_no").isNotNull()).select("recording", "pos", "speaker_no", "text")
+    words = turn_words(tokens, True, size).where(F.col("speaker_no").isNotNull()).select("recording", "pos", "speaker_no", "text").persist(StorageLevel.MEMORY_AND_DISK)
     # A word opens a turn if the one ahead is by another speaker; its place is carried on to those that follow.
     told = running(words, "recording", "pos", before={"_prev": F.col("speaker_no")}, size=size)
     opens = F.when(~F.coalesce(F.col("_prev") == F.col("speaker_no"), F.lit(False)), F.col("pos"))
