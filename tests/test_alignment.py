@@ -8,8 +8,9 @@ from fractions import Fraction
 import pytest
 
 from wordloom.operators import align as A
-from wordloom.operators.greedy import align_greedy
+from wordloom.operators.greedy import align_greedy, greedy_paths
 
+# Synonym rules that the golden counts rest on.
 RULES = {
     "we will": ["we'll"], "we'll": ["we will"], "it is": ["it's"], "it's": ["it is"], "she's": ["she is"], "i'll": ["i will"], "wanna": ["want to"],
     "all right": ["alright"], "alright": ["all right"], "you'll": ["you will"],
@@ -32,10 +33,11 @@ def tally(ref: str, hyp: str, rules=None, spans=None):
     return c["ins"], c["del"], c["sub"], c["n_ref"]
 
 
+# Sentences whose counts are known.
 SYN_1 = ("we will have a nice evening no matter what will happen um it's a good opportunity to do this you'll see", "we'll have a nice evening um no matter what will happen it is uh a good opportunity to this you'll uh see")
 TEST_1 = (
-    "we will have victory marc it's a sure thing we must only calculate p i number " + "we will have victory it's a sure thing we must only calculate p i number " * 4,
-    "we'll have victory it is a sure thing we must only calculate p i number we'll have victory it is a sure thing we must only calculate pee eye number " + "we will have victory it's a sure thing we must only calculate p i number " * 3,
+    "we will have victory marc it's a sure thing we must only calculate p i number we will have victory it's a sure thing we must only calculate p i number we will have victory it's a sure thing we must only calculate p i number we will have victory it's a sure thing we must only calculate p i number we will have victory it's a sure thing we must only calculate p i number",
+    "we'll have victory it is a sure thing we must only calculate p i number we'll have victory it is a sure thing we must only calculate pee eye number we will have victory it's a sure thing we must only calculate p i number we will have victory it's a sure thing we must only calculate p i number we will have victory it's a sure thing we must only calculate p i number",
 )
 
 
@@ -273,3 +275,20 @@ def test_greedy_is_never_better():
         assert [s.ref for s in steps if s.op != "ins"] == a
         assert [s.hyp for s in steps if s.op != "del"] == b
         assert sum(s.op != "cor" for s in steps) >= distance(a, b)
+
+
+def test_beam_best_and_anchors():
+    rng = random.Random(7)
+    a = [f"w{rng.randrange(60)}" for _ in range(150)]
+    b = [rng.choice(["x", w]) if rng.random() < 0.3 else w for w in a if rng.random() > 0.1]
+    graph = A.graph_of(a, None, None)
+    whole = A.counts(align_greedy(graph, b))
+    errors = lambda steps: sum(s.op != "cor" for s in steps)
+    assert sum(whole[k] for k in ("ins", "del", "sub")) == errors(align_greedy(graph, b, beam=10**6))
+    for options in ({"beam": 20}, {"streak": 100}, {"most": 1}, {"beam": 20, "streak": 100, "most": 5}):
+        steps = align_greedy(graph, b, **options)
+        assert [s.ref for s in steps if s.op != "ins"] == a
+        assert [s.hyp for s in steps if s.op != "del"] == b
+    paths = greedy_paths(graph, b, most=5)
+    assert 1 <= len(paths) <= 5
+    assert [errors(p) for p in paths] == sorted(errors(p) for p in paths)

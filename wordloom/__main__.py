@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from wordloom import __version__
 from wordloom.operators.graphs import parse_rules
 from wordloom.plans.wer import WerOptions, align_times, oracle_wer, wer
-from wordloom.session import ship
+from wordloom.session import checkpointed, ship
 from wordloom.sinks.reports import ALIGNED_HEADER, log_lines
 from wordloom.sources import readers
 
@@ -82,7 +83,8 @@ def main(argv: list[str] | None = None) -> int:
     rules = parse_rules(readers.read_rules(spark, args.syn)) if args.syn else None
     norms = readers.read_normalisations(spark, args.ref_json) if args.ref_json else None
     result = (align_times if args.command == "align" else wer)(ref, hyp, rules, norms, options)
-    result.stitches.persist()
+    # What follows starts from the stitches; cut from how they came about, its plans stay small.
+    result = replace(result, stitches=checkpointed(result.stitches))
     for line in log_lines(result.best()).collect():  # one pair
         log.info(line.line)
     if args.output_nlp:

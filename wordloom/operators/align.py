@@ -41,7 +41,7 @@ CELLS = 16_000_000
 WORDS = 100_000
 TOGETHER = 64
 
-STITCH_FIELDS = "seq long, class_label string, span long, ref_tok string, hyp_tok string, op string, ref_row long, span_row long, span_rows long"
+STITCH_FIELDS = "seq long, class_label string, span long, ref_tok string, hyp_tok string, op string, ref_row long, span_row long, span_rows long, hyp_idx long"
 
 
 @dataclass
@@ -544,7 +544,7 @@ def align_pairs(pairs: DataFrame, rules: list[tuple[list[str], list[list[str]]]]
     return spread(pairs.select("utt_id", "ref", "hyp", *names)).mapInArrow(run, f"utt_id {kind}, {STITCH_FIELDS}")
 
 
-_NAMES = ["utt_id", "seq", "class_label", "span", "ref_tok", "hyp_tok", "op", "ref_row", "span_row", "span_rows"]
+_NAMES = ["utt_id", "seq", "class_label", "span", "ref_tok", "hyp_tok", "op", "ref_row", "span_row", "span_rows", "hyp_idx"]
 _OPERATIONS = pa.array(["cor", "del", "sub", "ins"])
 
 
@@ -567,20 +567,23 @@ def _plain_stitches(pairs: list[tuple], key: pa.DataType) -> Iterator[pa.RecordB
     code = np.where(ops == _INS, 3, np.where(ops == _DEL, 1, np.where(same, 0, 2)))
     none = pa.nulls(total, pa.int64())
     row = pa.array(x - np.repeat(offset(1), sizes), mask=~said)
+    place = pa.array(y - np.repeat(offset(2), sizes), mask=~heard)
     pair = np.repeat(np.arange(len(pairs)), sizes)
     yield pa.RecordBatch.from_arrays(
-        [pa.array([u for u, _, _ in pairs], key).take(pa.array(pair)), pa.array(np.arange(total) - first + 1), pa.array([GLOBAL]).take(pa.array(np.zeros(total, np.int64))), none, ref_tok, hyp_tok, _OPERATIONS.take(pa.array(code)), row, none, none], _NAMES
+        [pa.array([u for u, _, _ in pairs], key).take(pa.array(pair)), pa.array(np.arange(total) - first + 1), pa.array([GLOBAL]).take(pa.array(np.zeros(total, np.int64))), none, ref_tok, hyp_tok, _OPERATIONS.take(pa.array(code)), row, none, none, place], _NAMES
     )
 
 
 def _graph_stitches(keys: list, graphs: list[ReferenceGraph], found: list[list[Step]], key: pa.DataType) -> Iterator[pa.RecordBatch]:
-    types = [key, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    types = [key, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     rows: list[tuple] = []
     for utt_id, graph, steps in zip(keys, graphs, found, strict=True):
+        heard = 0
         for seq, s in enumerate(steps, 1):
-            inside = s.span >= 0
+            inside, hears = s.span >= 0, s.op in ("cor", "sub", "ins")
             place = graph.places[s.span] if inside else (None, None)
-            rows.append((utt_id, seq, graph.spans[s.span] if inside else GLOBAL, s.span if inside else None, s.ref, s.hyp, s.op, s.row if s.row >= 0 and not inside else None, *place))
+            rows.append((utt_id, seq, graph.spans[s.span] if inside else GLOBAL, s.span if inside else None, s.ref, s.hyp, s.op, s.row if s.row >= 0 and not inside else None, *place, heard if hears else None))
+            heard += hears
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], _NAMES)
 

@@ -125,12 +125,14 @@ def _around(blocks: DataFrame, key: str, wanted: dict[str, tuple[str, str, bool]
         w = Window.partitionBy(*parts).orderBy(F.desc(order) if later else F.asc(order)).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum(c).over(w), F.lit(0)) if kind == "sum" else F.last(c, ignorenulls=True).over(w)
 
+    near = far.withColumns({f"_n{o}": taken(k, c, later, [key, "_far"], "_block") for o, (k, c, later) in wanted.items()})
     whole = {c: F.sum(c) if kind == "sum" else (F.min_by if later else F.max_by)(c, F.when(F.col(c).isNotNull(), F.col("_block"))) for kind, c, later in wanted.values()}
-    groups = far.groupBy(key, "_far").agg(*[x.alias(c) for c, x in whole.items()])
-    outer = groups.select(key, "_far", *[taken(k, c, later, [key], "_far").alias(f"_o{o}") for o, (k, c, later) in wanted.items()])
-    near = far.select(key, "_far", "_block", *[taken(k, c, later, [key, "_far"], "_block").alias(f"_n{o}") for o, (k, c, later) in wanted.items()])
-    both = near.join(outer, [key, "_far"])
-    return both.select(key, "_block", *[(F.col(f"_n{o}") + F.col(f"_o{o}") if k == "sum" else F.coalesce(f"_n{o}", f"_o{o}")).alias(o) for o, (k, _, _) in wanted.items()])
+    # A group carries its blocks, at most ``FAN``, along, so that the blocks are worked out once.
+    groups = near.groupBy(key, "_far").agg(*[x.alias(c) for c, x in whole.items()], F.collect_list(F.struct("_block", *[f"_n{o}" for o in wanted])).alias("_rows"))
+    outer = groups.select(key, "_rows", *[taken(k, c, later, [key], "_far").alias(f"_o{o}") for o, (k, c, later) in wanted.items()])
+    each = outer.select(key, F.explode("_rows").alias("_x"), *[f"_o{o}" for o in wanted])
+    joined = [(F.col(f"_x._n{o}") + F.col(f"_o{o}") if k == "sum" else F.coalesce(f"_x._n{o}", f"_o{o}")).alias(o) for o, (k, _, _) in wanted.items()]
+    return each.select(key, F.col("_x._block").alias("_block"), *joined)
 
 
 def running(df: DataFrame, key: str, pos: str, sums: dict[str, Column] | None = None, fills: dict[str, Column] | None = None, before: dict[str, Column] | None = None, size: int = BLOCK) -> DataFrame:

@@ -34,8 +34,10 @@ def with_timings(stitches: DataFrame, hyp: DataFrame) -> DataFrame:
     words) or ``start_ts, end_ts``.  A missing start counts as 0 where only an end is given
     and the other way round; without any the times are 0.
     """
-    heard = F.col("op").isin("cor", "sub", "ins").cast("long")
-    told = running(stitches, "utt_id", "seq", sums={"hyp_idx": heard}).withColumn("hyp_idx", F.when(heard == 1, F.col("hyp_idx") - 1))
+    told = stitches
+    if "hyp_idx" not in stitches.columns:  # the aligner tells it
+        heard = F.col("op").isin("cor", "sub", "ins").cast("long")
+        told = running(stitches, "utt_id", "seq", sums={"hyp_idx": heard}).withColumn("hyp_idx", F.when(heard == 1, F.col("hyp_idx") - 1))
     have = set(hyp.columns)
     col = lambda c: F.col(c).cast("string").try_cast("double") if c in have else F.lit(None).cast("double")
     start = F.coalesce(col("start_ts"), col("end_ts"), F.lit(0.0))
