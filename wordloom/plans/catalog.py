@@ -323,8 +323,8 @@ def align_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def align_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``align_entities`` by the greedy approach, with its beam and its quick look ahead."""
-    return metrics.best_wer(plan.align(*_entity_inputs(spark, sf_dir), plan.WerOptions(composition_approach="adapted")))
+    """As ``align_entities`` by the greedy approach, with its beam and its quick look ahead, a result for each sentence."""
+    return metrics.best_wer(plan.align(*_entity_inputs(spark, sf_dir, True), plan.WerOptions(composition_approach="adapted")))
 
 
 def align_entity_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
