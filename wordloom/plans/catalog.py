@@ -24,10 +24,12 @@ def _number(recording: Column) -> Column:
     return F.coalesce(F.regexp_extract(recording, "([0-9]+)", 1).try_cast("long"), F.lit(0))
 
 
-def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token rows as references: ``utt_id, pos`` and the row's columns, copies once."""
+_COLUMNS = ("token", "speaker", "ts", "end_ts", "punctuation", "prepunctuation", "casing", "labels", "best_label", "wer_tags", "confidence")
+
+
+def token_rows(spark: SparkSession, sf_dir: str, cols: tuple[str, ...] = _COLUMNS) -> DataFrame:
+    """Token rows as references: ``utt_id, pos`` and the row's columns, copies once; what is not in ``cols`` is not shuffled."""
     rows = table(spark, sf_dir, "nlp_tokens").where(F.col("recording").isNotNull() & F.col("pos").isNotNull())
-    cols = ["token", "speaker", "ts", "end_ts", "punctuation", "prepunctuation", "casing", "labels", "best_label", "wer_tags", "confidence"]
     one = rows.groupBy("recording", "pos").agg(F.min_by(F.struct(*cols), "row_id").alias("r"))
     return one.select(F.col("recording").alias("utt_id"), "pos", "r.*")
 
@@ -313,8 +315,10 @@ def align_sentence_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def align_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain words of whole recordings."""
-    ref, heard = _sides(spark, sf_dir)
-    return metrics.best_wer(plan.align(ref.select("utt_id", "pos", "token"), heard, options=_PLAIN))
+    ref = token_rows(spark, sf_dir, ("token",)).withColumn("token", F.coalesce("token", F.lit("")))
+    made = inject_errors(ref.select("utt_id", "pos", F.lower("token").alias("token")), _number(F.col("utt_id")))
+    heard = made.where(F.col("op") != "del").select("utt_id", F.col("seq").alias("pos"), F.col("hyp_tok").alias("token"))
+    return metrics.best_wer(plan.align(ref, heard, options=_PLAIN))
 
 
 def align_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,7 +341,7 @@ def align_entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle_lattice_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lattices that offer each word and a wrong one: the right path has no error but for what the lattice lacks."""
-    rows = token_rows(spark, sf_dir).select("utt_id", "pos", F.lower(F.coalesce("token", F.lit(""))).alias("token"))
+    rows = token_rows(spark, sf_dir, ("token",)).select("utt_id", "pos", F.lower(F.coalesce("token", F.lit(""))).alias("token"))
     order = running(rows, "utt_id", "pos", sums={"n": F.lit(1)})
     lost = F.pmod(F.col("pos") * 31 + _number(F.col("utt_id")) * 17, F.lit(100)) < 10
     state = F.col("n").cast("long")
