@@ -113,7 +113,7 @@ def entity_spans(rows: DataFrame, key: str, label: str, place: str = "idx") -> D
 # --- graphs inside a task ----------------------------------------------------------------
 
 
-@dataclass
+@dataclass(slots=True)
 class Arc:
     src: int
     dst: int
@@ -177,13 +177,16 @@ class ReferenceGraph:
         first: dict[str, list[tuple[str, ...]]] = {}
         for lhs in rules:
             first.setdefault(lhs[0], []).append(lhs)
+        starts = [a for a in self.arcs if a.word in first]
+        if not starts:
+            return
         after: list[list[Arc]] = [[] for _ in range(self.size)]
         for a in self.arcs:
             after[a.src].append(a)
         new: list[tuple[int, int, list[str], int, str]] = []
         made = 0
-        for a in list(self.arcs):
-            for lhs in first.get(a.word, ()) if a.word is not None else ():
+        for a in starts:
+            for lhs in first[a.word]:
                 for end, spans in _ends(after, a, lhs):
                     outer = spans[0] if spans and all(s == spans[0] for s in spans) else -1
                     for alt in rules[lhs]:

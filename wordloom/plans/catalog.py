@@ -272,12 +272,13 @@ def _normalisations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ways.groupBy("recording", "label_id").agg(F.array_sort(F.collect_set("w")).alias("candidates"))
 
 
-def _sides(spark: SparkSession, sf_dir: str, sentences: bool = False) -> tuple[DataFrame, DataFrame]:
+def _sides(spark: SparkSession, sf_dir: str, sentences: bool = False, cols: tuple[str, ...] = _COLUMNS) -> tuple[DataFrame, DataFrame]:
     """Token rows as references, and hypothesis words with injected errors; by recording or by sentence.
 
     A sentence ends with a row of ``.``, ``?`` or ``!``; its ``utt_id`` is the recording and its number.
+    Columns of the rows that are not in ``cols`` are blank and not shuffled.
     """
-    rows = token_rows(spark, sf_dir).withColumns({"recording": F.col("utt_id"), "token": F.coalesce("token", F.lit(""))})
+    rows = token_rows(spark, sf_dir, cols).withColumns({c: F.lit("") for c in _COLUMNS if c not in cols}).withColumns({"recording": F.col("utt_id"), "token": F.coalesce("token", F.lit(""))})
     if sentences:
         stop = F.coalesce(F.trim("punctuation").isin(".", "?", "!"), F.lit(False)).cast("long")
         rows = running(rows, "utt_id", "pos", sums={"_stops": stop})
@@ -290,9 +291,13 @@ def _sides(spark: SparkSession, sf_dir: str, sentences: bool = False) -> tuple[D
     return ref, made.where(F.col("op") != "del").select("utt_id", F.col("seq").alias("pos"), F.col("hyp_tok").alias("token"))
 
 
-def _entity_inputs(spark: SparkSession, sf_dir: str, sentences: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+#: What an alignment needs of the token rows, beside their places.
+_ALIGNED = ("token", "labels", "best_label")
+
+
+def _entity_inputs(spark: SparkSession, sf_dir: str, sentences: bool = False, cols: tuple[str, ...] = _COLUMNS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """References with entities, hypotheses with injected errors, synonyms, and verbalisations."""
-    ref, heard = _sides(spark, sf_dir, sentences)
+    ref, heard = _sides(spark, sf_dir, sentences, cols)
     by_utterance = ref.where(F.col("labels") != "[]").select("utt_id", "recording", fn.label_number(fn.first_label(F.col("labels"))).alias("label_id")).distinct()
     norms = by_utterance.join(_normalisations(spark, sf_dir), ["recording", "label_id"]).select("utt_id", "label_id", "candidates")
     return ref.drop("recording"), heard, _rules(spark, sf_dir), norms
@@ -323,7 +328,7 @@ def align_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def align_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole recordings with their entities and synonyms."""
-    return metrics.best_wer(plan.align(*_entity_inputs(spark, sf_dir)))
+    return metrics.best_wer(plan.align(*_entity_inputs(spark, sf_dir, cols=_ALIGNED)))
 
 
 def align_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
