@@ -337,7 +337,7 @@ def align_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def align_entity_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.class_wer(plan.align(*_entity_inputs(spark, sf_dir)))
+    return metrics.class_wer(plan.align(*_entity_inputs(spark, sf_dir, cols=_ALIGNED)))
 
 
 def align_entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
