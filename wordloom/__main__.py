@@ -8,13 +8,12 @@ from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wordloom import __version__
 from wordloom.operators.graphs import parse_rules
 from wordloom.plans.wer import WerOptions, align_times, oracle_wer, wer
 from wordloom.session import checkpointed, ship
-from wordloom.sinks.reports import ALIGNED_HEADER, log_lines
+from wordloom.sinks.reports import ALIGNED_HEADER, log_lines, merged_json
 from wordloom.sources import readers
 
 log = logging.getLogger("wordloom")
@@ -97,7 +96,8 @@ def main(argv: list[str] | None = None) -> int:
             tags = readers.read_sidecar(spark, args.wer_sidecar) if args.wer_sidecar else None
             _save(result.side_by_side(tags), ["part", "line_no"], args.output_sbs)
         if args.json_log:
-            _save(result.json().select(F.col("json").alias("line")), ["line"], args.json_log)
+            parts = [r.json for r in result.json().orderBy("part").toLocalIterator()]  # one pair
+            Path(args.json_log).write_text(merged_json(parts) + "\n", encoding="utf-8")
     return 0
 
 

@@ -121,11 +121,13 @@ def json_log_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = f"struct<wer:struct<bestWER:struct<{rate}>,classWER:map<string,struct<{rate}>>,speakerWER:map<string,struct<{rate}>>,sentenceWer:array<struct<{rate}>>,wer_tag:map<string,struct<{rate}>>,unigrams:map<string,struct<{gram}>>,bigrams:map<string,struct<{gram}>>>>".replace(" long", ":bigint").replace(", ", ",")
     told = c.json_log(spark, sf_dir).select("utt_id", F.from_json("json", kind)["wer"].alias("w"))
     total = lambda part, field: F.aggregate(F.map_values(F.col(f"w.{part}")), F.lit(0).cast("bigint"), lambda a, x: a + x[field])
-    return told.select(
+    each = told.select(
         "utt_id", F.col("w.bestWER.numErrors").alias("errors"), F.col("w.bestWER.numWordsInReference").alias("n_ref"), total("speakerWER", "numErrors").alias("speaker_errors"),
         F.aggregate("w.sentenceWer", F.lit(0).cast("bigint"), lambda a, x: a + x["numWordsInReference"]).alias("sentence_words"), F.size("w.sentenceWer").cast("long").alias("sentences"),
         F.size("w.unigrams").cast("long").alias("unigrams"), total("unigrams", "correct").alias("correct"), total("unigrams", "substitutions_fp").alias("subst_fp"), F.size("w.bigrams").cast("long").alias("bigrams"),
     )
+    # A long recording has several parts, with a share of the keys each.
+    return each.groupBy("utt_id").agg(*[F.sum(c).alias(c) for c in each.columns if c != "utt_id"])
 
 
 # --- alignment's parts -------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,37 +100,70 @@ def _rate(*more: Column) -> Column:
     return F.struct(*cols, *more)
 
 
+#: An utterance's JSON is in parts of so many stitches, so that no row holds all words of a long one.
+PART = 50_000
+
+
 def json_log(stitches: DataFrame, utterances: DataFrame | None = None, breakdowns: bool = True, context: int = 5, case: bool = False, threshold: int = 0) -> DataFrame:
-    """``utt_id, json``: all rates and n-gram statistics of each utterance as one JSON object."""
+    """``utt_id, part, json``: all rates and n-gram statistics of each utterance as JSON.
+
+    Nearly every utterance is one object, of part 0.  A longer one has an object for each ``PART`` of its
+    stitches, with a share of the keys each and the sentences in order; ``merged_json`` makes one of them.
+    """
+    # Only the long ones are listed: at most one for so many stitches.
+    long = F.broadcast(stitches.groupBy("utt_id").count().where(F.col("count") > PART).select("utt_id", F.ceil(F.col("count") / PART).cast("long").alias("_parts")))
+
+    def parted(df: DataFrame, part: Column) -> DataFrame:
+        return df.join(long, "utt_id", "left").withColumn("part", F.when(F.col("_parts").isNull(), 0).otherwise(part).cast("long"))
 
     def keyed(df: DataFrame, key: str, name: str, value: Column) -> DataFrame:
-        return df.groupBy("utt_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v")))).alias(name))
+        return parted(df, F.pmod(F.xxhash64(key), "_parts")).groupBy("utt_id", "part").agg(F.map_from_entries(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v")))).alias(name))
+
+    def whole(df: DataFrame, *cols: str | Column) -> DataFrame:
+        return df.select("utt_id", F.lit(0).cast("long").alias("part"), *cols)
 
     gram = F.struct("correct", F.col("ins").alias("insertions"), F.col("del").alias("deletions"), F.col("subst_fp").alias("substitutions_fp"), F.col("subst_fn").alias("substitutions_fn"), "precision", "recall")
     meta = F.create_map().cast("map<string,string>").alias("meta")
+    best = metrics.best_wer(stitches, utterances).select("utt_id", _rate(F.col("precision"), F.col("recall"), meta).alias("bestWER"))
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1).cast("long")) - 1))
+    out = best.join(long, "utt_id", "left").select("utt_id", numbers.alias("part"), "bestWER").withColumn("bestWER", F.when(F.col("part") == 0, F.col("bestWER")))
     parts = [
-        metrics.best_wer(stitches, utterances).select("utt_id", _rate(F.col("precision"), F.col("recall"), meta).alias("bestWER")),
         keyed(metrics.class_wer(stitches), "class_name", "classWER", _rate(meta)),
         keyed(metrics.unigram_stats(stitches, threshold), "gram", "unigrams", gram),
         keyed(metrics.bigram_stats(stitches, threshold), "gram", "bigrams", gram),
     ]
     if breakdowns:
-        sentences = metrics.sentence_wer(stitches).groupBy("utt_id").agg(F.sort_array(F.collect_list(F.struct("sentence", _rate().alias("r")))).alias("s"))
+        each = parted(metrics.sentence_wer(stitches), F.floor(F.col("sentence") / PART))
+        sentences = each.groupBy("utt_id", "part").agg(F.sort_array(F.collect_list(F.struct("sentence", _rate().alias("r")))).alias("s"))
         parts += [
             keyed(metrics.speaker_wer(stitches), "speaker_id", "speakerWER", _rate(meta)),
-            sentences.select("utt_id", F.transform("s", lambda x: x["r"]).alias("sentenceWer")),
+            sentences.select("utt_id", "part", F.transform("s", lambda x: x["r"]).alias("sentenceWer")),
             keyed(metrics.tag_wer(stitches), "tag_id", "wer_tag", _rate(meta)),
         ]
     if breakdowns and context > 0:
-        parts.append(metrics.speaker_switch_wer(stitches, context).select("utt_id", _rate(F.struct(F.col("window_size").alias("windowSize")).alias("meta")).alias("speakerSwitchWER")))
+        parts.append(whole(metrics.speaker_switch_wer(stitches, context), _rate(F.struct(F.col("window_size").alias("windowSize")).alias("meta")).alias("speakerSwitchWER")))
     if case:
         side = lambda k: F.struct(F.col(f"{k}_precision").alias("precision"), F.col(f"{k}_recall").alias("recall"), F.col(f"{k}_tp").alias("true_positive"), F.col(f"{k}_fp").alias("false_positive"), F.col(f"{k}_fn").alias("false_negative"))
-        parts.append(metrics.case_stats(stitches).select("utt_id", F.struct(side("matching").alias("matching"), side("all").alias("all")).alias("caseWER")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, "utt_id", "left")
-    names = [c for c in out.columns if c != "utt_id"]
-    return out.select("utt_id", F.to_json(F.struct(F.struct(*names).alias("wer"))).alias("json"))
+        parts.append(whole(metrics.case_stats(stitches), F.struct(side("matching").alias("matching"), side("all").alias("all")).alias("caseWER")))
+    for p in parts:
+        out = out.join(p, ["utt_id", "part"], "left")
+    names = [c for c in out.columns if c not in ("utt_id", "part")]
+    return out.select("utt_id", "part", F.to_json(F.struct(F.struct(*names).alias("wer"))).alias("json"))
+
+
+def merged_json(parts: list[str]) -> str:
+    """One object of the parts of an utterance's JSON, in order; a single part stays as it is."""
+    if len(parts) == 1:
+        return parts[0]
+    out: dict = {}
+    for section, held in (x for p in parts for x in json.loads(p)["wer"].items()):
+        if section not in out:
+            out[section] = held
+        elif isinstance(held, list):
+            out[section] += held
+        else:
+            out[section] |= held
+    return json.dumps({"wer": out}, ensure_ascii=False, separators=(",", ":"))
 
 
 def log_lines(best: DataFrame) -> DataFrame:
